@@ -39,5 +39,5 @@ def parse_number(token: Column) -> Column:
         part = F.when(t.endswith(sign), F.lit(value)).otherwise(part)
     plain = F.translate(t, _GAP, "")
     plain = F.when(plain.contains(","), F.translate(F.regexp_replace(plain, r",(?=\d{3}(?!\d))", ""), ",", ".")).otherwise(plain)
-    out = F.when(t.contains("/"), slash).when(t.rlike(f"[{_V}]$"), vulgar + part).otherwise(plain.try_cast("double"))
+    out = F.when(F.translate(t, "0123456789.", "") == "", t.try_cast("double")).when(t.contains("/"), slash).when(t.rlike(f"[{_V}]$"), vulgar + part).otherwise(plain.try_cast("double"))
     return F.when(negative, -out).otherwise(out)

@@ -11,37 +11,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions.numbers import NUMBER, parse_number
-from partloom.functions.text import attribute_key, is_not_stated
+from partloom.functions.text import attribute_key
 from partloom.functions.units import UNIT_TOKEN, join_unit, unit_alias, unit_table
 
-_LEAD = r"^(?:[^\d½¼¾⅛⅜⅝⅞⅓⅔]*?[^\d½¼¾⅛⅜⅝⅞⅓⅔+\-−–.,]\s?)??"
-#: number (group 1) at the first place where one stands, and the unit (group 2) right behind it
-_NUMBER_UNIT = rf"{_LEAD}\s*({NUMBER})\s*({UNIT_TOKEN})?"
+#: the first number (group 1) and the unit right behind it (group 2)
+_NUMBER_UNIT = rf"({NUMBER})\s*({UNIT_TOKEN})?"
 _BRACKET = r"\[([^\]]*)\]"
 
 
+def _plain(c: Column) -> Column:
+    """Nothing but digits and points: the common case, which needs no regular expression."""
+    return F.translate(c, "0123456789.", "") == ""
+
+
 def _number_text(c: Column) -> Column:
     t = F.when(c.contains("["), F.regexp_replace(c, _BRACKET, " ")).otherwise(c)
     x = F.regexp_extract(t, _NUMBER_UNIT, 1)
-    return F.when(x != "", x)
+    return F.when(_plain(c) & (c != ""), c).otherwise(F.when(x != "", x))
 
 
 def _unit_text(c: Column) -> Column:
     inside = unit_alias(F.regexp_extract(c, _BRACKET, 1))
     behind = unit_alias(F.regexp_extract(c, _NUMBER_UNIT, 2))
-    return F.when(c.contains("["), inside).otherwise(behind)
+    return F.when(~_plain(c), F.when(c.contains("["), inside).otherwise(behind))
 
 
-def stated_quantity(df: DataFrame, value: str, unit: str | None, raw_text: str | None, source_default: str | None = None) -> DataFrame:
+def stated_quantity(df: DataFrame, value: str, unit: str | None, raw_text: str | None, source_default: str | None = None, only: Column | None = None) -> DataFrame:
     """Number, dimension, factor and offset stated by a row; adds ``q_number q_dim q_factor q_offset``.
 
     ``value`` gives the number, or ``raw_text`` when ``value`` states none. The unit is the first known one of: the one
     in ``raw_text``, the one in ``value``, the ``unit`` column, the column ``source_default``. A token that is no known
-    unit counts as no unit. Rows keep their other columns; a null, blank or filler text states nothing.
+    unit counts as no unit. Rows where ``only`` is not true are not read (all four columns null). Rows keep their other columns; a null, blank or filler text states nothing.
     """
     units = unit_table(df.sparkSession)
-    v = F.when(~is_not_stated(F.col(value)), F.col(value))
-    r = F.when(~is_not_stated(F.col(raw_text)), F.col(raw_text)) if raw_text else F.lit(None).cast("string")
+    read = lambda c: F.when(only, F.col(c)) if only is not None else F.col(c)
+    v = read(value)
+    r = read(raw_text) if raw_text else F.lit(None).cast("string")
     out = df.withColumn("_v", v).withColumn("_r", r)
     out = out.withColumn("_num", F.coalesce(_number_text(F.col("_v")), _number_text(F.col("_r"))))
     tokens = {"_ru": _unit_text(F.col("_r")), "_vu": _unit_text(F.col("_v"))}
@@ -72,7 +77,7 @@ def to_canonical_units(df: DataFrame, specs: DataFrame, key: str, value: str, un
     """
     base = df.drop("canonical_value", "canonical_unit").withColumn("_key", attribute_key(F.col(key)))
     joined = base.join(F.broadcast(canonical_units(specs)), F.col("_key") == F.col("c_key"), "left")
-    x = stated_quantity(joined, value, unit, raw_text, source_default)
+    x = stated_quantity(joined, value, unit, raw_text, source_default, only=F.col("c_key").isNotNull())
     ok = F.col("q_dim") == F.col("c_dim")
     # the difference of the offsets first: the same unit then gives the number itself
     same = (F.col("q_factor") == F.col("c_factor")) & (F.col("q_offset") == F.col("c_offset"))
