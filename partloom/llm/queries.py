@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partloom.functions.text import mpn_normalise, non_blank
 from partloom.llm.bpe import encode_column, token_counts
+from partloom.llm.mapping import match_names
 from partloom.llm.packing import fill_containers
 from partloom.llm.splits import assign_split, related_groups, split_leaks
 from partloom.sources.tables import table
@@ -27,6 +28,22 @@ def _groups(spark: SparkSession, folder: str) -> DataFrame:
     return related_groups(_labels(spark, folder), "part", links, "part", "family")
 
 
+def _matches(spark: SparkSession, folder: str) -> DataFrame:
+    typed = table(spark, folder, "products").select(non_blank(F.col("manufacturer")).alias("manufacturer"))
+    return match_names(typed, "manufacturer", table(spark, folder, "manufacturers"), "manufacturer_id", "canonical_name", "aliases")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The manufacturer that each product's typed name means, 0 for none."""
+    products = table(spark, folder, "products").select(F.col("id").alias("product_id"), non_blank(F.col("manufacturer")).alias("value")).where("value is not null")
+    return products.join(_matches(spark, folder), "value", "left").select("product_id", F.coalesce("entry_id", F.lit(0)).alias("manufacturer_id"))
+
+
+def p2_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed names that mean no entry, with the best one they were compared with."""
+    return _matches(spark, folder).where("entry_id is null").select("value", "form", "best_id", F.round("score", 6).alias("score"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled parts whose group of related parts carries more than one split."""
     return split_leaks(_groups(spark, folder), _labels(spark, folder), "part", "split").select(F.col("record").alias("mpn_normalised"))
@@ -49,7 +66,7 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return fill_containers(sizes, "doc_id", "n_tokens", CAPACITY).withColumnsRenamed({"item": "doc_id", "start": "start_token", "n": "n_tokens"})
 
 
-QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_splits": p4_splits, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 _PART = "regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g')"
 ORACLE: dict[str, str] = {
