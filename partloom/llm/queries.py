@@ -10,6 +10,7 @@ from partloom.llm.bpe import encode_column, token_counts
 from partloom.llm.mapping import match_names
 from partloom.llm.packing import fill_containers
 from partloom.llm.splits import assign_split, related_groups, split_leaks
+from partloom.llm.truncation import score_truncation, truncated_share
 from partloom.sources.tables import table
 
 #: Shares of the splits: the constants of the evaluation (40 / 30 / 30).
@@ -55,6 +56,20 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
     return g.select(F.col("record").alias("mpn_normalised"), "group_id", assign_split(F.col("group_id"), SPLITS).alias("split"))
 
 
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    return score_truncation(table(spark, folder, "sku_inputs"), "sku_id", "description_fragment", "feed")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose description lost its end."""
+    return _scored(spark, folder).where("score >= 0.5").select(F.col("row_id").alias("sku_id"))
+
+
+def p6_by_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each feed truncates."""
+    return truncated_share(_scored(spark, folder)).withColumnRenamed("source", "feed")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return encode_column(table(spark, folder, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
@@ -66,7 +81,7 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return fill_containers(sizes, "doc_id", "n_tokens", CAPACITY).withColumnsRenamed({"item": "doc_id", "start": "start_token", "n": "n_tokens"})
 
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_splits": p4_splits, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_by_feed": p6_by_feed, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 _PART = "regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g')"
 ORACLE: dict[str, str] = {
