@@ -9,6 +9,7 @@ from partloom.functions.text import mpn_normalise, non_blank
 from partloom.llm.bpe import encode_column, token_counts
 from partloom.llm.mapping import match_names
 from partloom.llm.packing import fill_containers
+from partloom.llm.sentences import split_sentences
 from partloom.llm.splits import assign_split, related_groups, split_leaks
 from partloom.llm.truncation import score_truncation, truncated_share
 from partloom.sources.tables import table
@@ -81,7 +82,12 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return fill_containers(sizes, "doc_id", "n_tokens", CAPACITY).withColumnsRenamed({"item": "doc_id", "start": "start_token", "n": "n_tokens"})
 
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_by_feed": p6_by_feed, "p8_ids": p8_ids, "p9_containers": p9_containers}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences of every document."""
+    return split_sentences(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("row_id", "doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_by_feed": p6_by_feed, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 _PART = "regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g')"
 ORACLE: dict[str, str] = {
