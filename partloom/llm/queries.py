@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.functions.text import mpn_normalise, non_blank
+from partloom.functions.text import attribute_key, is_not_stated, mpn_normalise, non_blank, reference_key
 from partloom.llm.bpe import encode_column, token_counts
 from partloom.llm.mapping import match_names
 from partloom.llm.packing import fill_containers
 from partloom.llm.sentences import split_sentences
 from partloom.llm.splits import assign_split, related_groups, split_leaks
+from partloom.llm.survivors import survivors
 from partloom.llm.truncation import score_truncation, truncated_share
 from partloom.sources.tables import table
 
@@ -71,6 +72,33 @@ def p6_by_feed(spark: SparkSession, folder: str) -> DataFrame:
     return truncated_share(_scored(spark, folder)).withColumnRenamed("source", "feed")
 
 
+def _trusted(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates with the rank of their source's newest row and the confidence of the link to their product."""
+    rank = F.coalesce(F.col("authority_rank").cast("int"), F.lit(9))
+    newest = F.max(F.struct("fetched_at", (-rank).alias("r")))
+    sources = table(spark, folder, "sources").select(reference_key(F.col("id")).alias("_s"), "fetched_at", "authority_rank").where("_s is not null").groupBy("_s").agg((-newest["r"]).alias("_rank"))
+    links = table(spark, folder, "product_sources").select(reference_key(F.col("product_id")).alias("_p"), reference_key(F.col("source_id")).alias("_s"), "match_confidence")
+    links = links.where("_p is not null and _s is not null").groupBy("_p", "_s").agg(F.max("match_confidence").alias("_conf"))
+    rows = table(spark, folder, "candidates").select("candidate_id", reference_key(F.col("product_id")).alias("_p"), attribute_key(F.col("canonical_key")).alias("_k"), "value", "agreement_count", reference_key(F.col("source_id")).alias("_s"))
+    return rows.where("_p is not null and _k is not null").join(sources, "_s", "left").join(links, ["_p", "_s"], "left")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The candidate of each product and key that is most to be trusted."""
+    order = [is_not_stated(F.col("value")).cast("int"), F.coalesce("_rank", F.lit(9)), -F.coalesce("_conf", F.lit(0.0)), -F.coalesce(F.col("agreement_count").cast("int"), F.lit(0))]
+    out = survivors(_trusted(spark, folder), {"product_id": F.col("_p"), "canonical_key": F.col("_k")}, F.col("candidate_id"), F.trim("value"), order)
+    return out.withColumnRenamed("item", "candidate_id")
+
+
+def p7_consensus(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with weights that add up: agreement of several sources may outvote one of higher authority."""
+    stated = (~is_not_stated(F.col("value"))).cast("double")
+    trust = (10 - F.coalesce("_rank", F.lit(9))) / 9 + F.coalesce("_conf", F.lit(0.0)) + F.least(F.coalesce(F.col("agreement_count"), F.lit(0)), F.lit(5)) / 5
+    order = [-stated, -F.round(trust, 6)]
+    out = survivors(_trusted(spark, folder), {"product_id": F.col("_p"), "canonical_key": F.col("_k")}, F.col("candidate_id"), F.lower(F.trim("value")), order, weight=stated * F.round(trust, 6))
+    return out.withColumnRenamed("item", "candidate_id")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return encode_column(table(spark, folder, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
@@ -87,10 +115,21 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_sentences(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("row_id", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_by_feed": p6_by_feed, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_by_feed": p6_by_feed, "p7_found": p7_found, "p7_consensus": p7_consensus, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 _PART = "regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g')"
 ORACLE: dict[str, str] = {
+    "p7_found": """
+WITH s AS (SELECT lower(trim(id)) AS s, arg_max(coalesce(authority_rank, 9), (fetched_at, -coalesce(authority_rank, 9))) AS rank FROM sources GROUP BY 1),
+l AS (SELECT lower(trim(product_id)) AS p, lower(trim(source_id)) AS s, max(match_confidence) AS conf FROM product_sources GROUP BY 1, 2),
+c AS (SELECT DISTINCT lower(trim(product_id)) AS p, regexp_replace(lower(trim(canonical_key)), '[\\s\\-_./]+', '_', 'g') AS k, candidate_id, source_id, agreement_count, value FROM candidates WHERE trim(product_id) <> ''),
+r AS (SELECT c.p, c.k, c.candidate_id, count(*) OVER (PARTITION BY c.p, c.k) AS n,
+  row_number() OVER (PARTITION BY c.p, c.k ORDER BY
+    (value IS NULL OR lower(trim(value)) IN ('', 'n/a', 'n.a.', '-', '--', '---', '?', 'tbc', 'tbd', 'unknown', 'not stated', 'k. a.', 'k.a.', 'on request', 'see drawing', 'auf anfrage')),
+    coalesce(rank, 9), coalesce(conf, 0) DESC, coalesce(agreement_count, 0) DESC, candidate_id) AS rn
+  FROM c LEFT JOIN s ON s.s = lower(trim(c.source_id)) LEFT JOIN l ON l.p = c.p AND l.s = lower(trim(c.source_id)))
+SELECT p AS product_id, k AS canonical_key, candidate_id FROM r WHERE rn = 1 AND n > 1
+""",
     "p4_found": f"""
 WITH RECURSIVE link AS (
   SELECT DISTINCT {_PART.format('mpn_normalised')} AS part, upper(trim(mpn_family)) AS family FROM products WHERE trim(mpn_family) <> ''),
