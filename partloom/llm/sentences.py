@@ -58,7 +58,7 @@ def _before_point(words: list[str]) -> str:
 def _lines(text: Column) -> Column:
     """Quotations and brackets as marks, list numbers masked, wrapped lines joined; the length stays."""
     t = F.regexp_replace(text, r"[-]", "x")
-    t = F.translate(t, "\r\t    ", "      ")
+    t = F.translate(t, "\r\t\u00a0\u2007\u2009\u202f\u3000", "       ")
     # the number of a list line; a wrapped line may also begin with a number and a point
     ref = "|".join(w.replace(".", r"\.") for w in [*NUMBERED, *ABBREVIATIONS])
     t = F.regexp_replace(t, rf"(?m)^( {{0,8}}\d{{1,3}})\.(?= +\S)(?<![^\n]{{50}}[^\n.!?:;。！？…\"”»)\]] {{0,1}}\n {{0,8}}\d{{1,3}}\.)(?<!(?:{ref})\. {{0,1}}\n {{0,8}}\d{{1,3}}\.)", f"$1{_DOT}")
