@@ -47,3 +47,53 @@ def is_not_stated(c: Column) -> Column:
     """True for a null, a blank or a note that nothing is stated."""
     t = F.lower(trimmed(c))
     return c.isNull() | (t == "") | t.isin(*NOT_STATED)
+
+
+def mpn_variants(c: Column) -> Column:
+    """Sorted spellings of a part number: as typed, normalised, and with each run of separators as '-', '_', '.', blank."""
+    t = F.upper(trimmed(c))
+    forms = F.array(t, mpn_normalise(t), *[F.regexp_replace(t, r"[\s\-_./,]+", s) for s in ("-", "_", ".", " ")])
+    return F.sort_array(F.array_except(F.array_distinct(forms), F.array(F.lit(""))))
+
+
+def family_prefix(c: Column, n: int = 8) -> Column:
+    return F.left(mpn_normalise(c), F.lit(n))
+
+
+def search_tokens(c: Column) -> Column:
+    """Runs of ASCII letters or of digits, lower case: the terms of full-text search."""
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z]+|[0-9]+"), F.lit(0))
+
+
+def word_set(c: Column, least: int = 2) -> Column:
+    """Distinct lower-case ASCII words of at least ``least`` characters."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= least))
+
+
+def categorical(c: Column) -> Column:
+    """Enumerated values in one spelling: lower case, words joined by one underscore, other signs dropped."""
+    t = F.regexp_replace(F.lower(trimmed(c)), r"[\s\-/]+", "_")
+    return F.regexp_replace(F.regexp_replace(t, "[^a-z0-9_]", ""), "^_+|_+$", "")
+
+
+def percent_bucket(c: Column, prefix: str) -> Column:
+    """A number from 0 to 99 that depends only on the text: SHA-256 of prefix and text, modulo 100."""
+    digest = F.sha2(F.concat(F.lit(prefix), c), 256)
+    step = lambda acc, i: F.pmod(acc * 96 + F.conv(F.substring(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("bigint"), F.lit(100)).cast("bigint")
+    return F.when(c.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("bigint"), step)).cast("int")
+
+
+def slug(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def identifier_pattern(c: Column) -> Column:
+    """A regular expression that finds a part number as a whole identifier, whatever separators stand in it.
+
+    It neither begins nor ends inside a longer identifier, also not across a separator; null for a text without letters
+    and digits.
+    """
+    code = mpn_normalise(c)
+    body = F.array_join(F.split(code, ""), r"[\s\-_./,]*")
+    pattern = F.concat(F.lit(r"(?<![A-Z0-9])(?<![A-Z0-9][\-_./,])"), body, F.lit(r"(?![\-_./,]*[A-Z0-9])"))
+    return F.when(code != "", pattern)
