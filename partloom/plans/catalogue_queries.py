@@ -14,6 +14,7 @@ from partloom.operators import retrieval as R
 from partloom.operators import store as S
 from partloom.operators import validate as V
 from partloom.operators.units import to_canonical_units
+from partloom.operators.verify import naming_chunks
 from partloom.plans.prep_queries import p1_wide
 from partloom.sources.tables import table
 
@@ -193,12 +194,17 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.dense_topk(e, "vec_id", "embedding", e.where("vec_id % 100 = 0"))
 
 
-def _texts(spark: SparkSession, d: str) -> DataFrame:
-    """Each product and linked source with the source's chunks: ``link_id, product, mpn, chunk``."""
-    p = table(spark, d, "products").select(X.reference_key(F.col("id")).alias("_p"), "mpn", "manufacturer")
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    """Each product with its linked sources: ``_p, _s, _code``."""
+    p = table(spark, d, "products").select(X.reference_key(F.col("id")).alias("_p"), X.mpn_normalise(F.col("mpn")).alias("_code"))
     links = table(spark, d, "product_sources").select(X.reference_key(F.col("product_id")).alias("_p"), X.reference_key(F.col("source_id")).alias("_s")).distinct()
-    c = table(spark, d, "chunks").select(X.reference_key(F.col("source_id")).alias("_s"), "chunk_id", "chunk_ord", "locator", F.upper("text").alias("text"))
-    return p.join(links, "_p").join(c, "_s").withColumn("present", F.regexp(F.col("text"), X.identifier_pattern(F.col("mpn"))))
+    return p.join(links, "_p").where("_s is not null")
+
+
+def _naming(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of linked sources that name the product's part: ``_p, _s, chunk_id, chunk_ord, locator``."""
+    c = table(spark, d, "chunks")
+    return naming_chunks(c, X.reference_key(F.col("source_id")), "text", ["chunk_id", "chunk_ord", "locator"], _parts(spark, d), "_s", "_code").drop("_code")
 
 
 _CHARS = "array_to_string(string_split(" + _NORM.format("p.mpn") + ", ''), '[\\s\\-_./,]*')"
@@ -213,8 +219,10 @@ JOIN chunks c ON {_REF.format('c.source_id')} = l.sid
 @query(f"SELECT product_id, source_id, count(*) AS n_chunks, count(*) FILTER (present) AS n_naming FROM ({_LINKED}) GROUP BY ALL")
 def mpn_presence(spark: SparkSession, d: str) -> DataFrame:
     """The hard gate: in how many chunks of a linked source the part stands as a whole identifier."""
-    x = _texts(spark, d).groupBy(F.col("_p").alias("product_id"), F.col("_s").alias("source_id"))
-    return x.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.col("present").cast("int")).alias("n_naming"))
+    size = table(spark, d, "chunks").groupBy(X.reference_key(F.col("source_id")).alias("_s")).agg(F.count(F.lit(1)).alias("n_chunks"))
+    named = _naming(spark, d).groupBy("_p", "_s").agg(F.count(F.lit(1)).alias("n_naming"))
+    x = _parts(spark, d).join(size, "_s").join(named, ["_p", "_s"], "left")
+    return x.select(F.col("_p").alias("product_id"), F.col("_s").alias("source_id"), "n_chunks", F.coalesce("n_naming", F.lit(0)).alias("n_naming"))
 
 
 @query(f"""
@@ -224,7 +232,7 @@ SELECT product_id, source_id, chunk_id FROM ({_LINKED}) WHERE present QUALIFY ro
 def naming_chunk(spark: SparkSession, d: str) -> DataFrame:
     """The chunk that names the part best: table before field before prose, then document order."""
     rank = F.when(F.col("locator") == "table_cell", 0).when(F.col("locator") == "structured_field", 1).when(F.col("locator") == "prose", 2).otherwise(3)
-    x = _texts(spark, d).where("present").groupBy(F.col("_p").alias("product_id"), F.col("_s").alias("source_id"))
+    x = _naming(spark, d).groupBy(F.col("_p").alias("product_id"), F.col("_s").alias("source_id"))
     return x.agg(F.min(F.struct(rank, "chunk_ord", "chunk_id")).alias("b")).select("product_id", "source_id", "b.chunk_id")
 
 
@@ -245,10 +253,8 @@ SELECT product_id, source_id, slot, round(CASE authority WHEN 1 THEN 1.0 WHEN 2
 """)
 def verify_links(spark: SparkSession, d: str) -> DataFrame:
     """Verified product and source pairs, scored by slot and authority with weights renormalised over these signals."""
-    x = _texts(spark, d).groupBy(F.col("_p").alias("product_id"), F.col("_s").alias("source_id")).agg(
-        F.max(F.col("present").cast("int")).alias("any"), F.max((F.col("present") & F.col("locator").isin("table_cell", "structured_field")).cast("int")).alias("slot")
-    )
-    x = x.where("any = 1").join(_authority(spark, d).withColumnRenamed("_s", "source_id"), "source_id", "left")
+    x = _naming(spark, d).groupBy(F.col("_p").alias("product_id"), F.col("_s").alias("source_id")).agg(F.max(F.col("locator").isin("table_cell", "structured_field").cast("int")).alias("slot"))
+    x = x.join(_authority(spark, d).withColumnRenamed("_s", "source_id"), "source_id", "left")
     a = F.coalesce("authority", F.lit(9))
     signal = F.when(a == 1, 1.0).when(a == 2, 0.9).when(a == 3, 0.8).when(a == 4, 0.75).when(a == 5, 0.6).otherwise(0.5)
     return x.select("product_id", "source_id", "slot", F.round(signal, 4).alias("authority_signal"), F.round((0.45 * F.col("slot") + 0.15 * signal) / 0.6, 4).alias("score"))
