@@ -90,6 +90,8 @@ def match_headers(headers: DataFrame, header: str, aliases: DataFrame, floor: fl
 
         return pd.DataFrame([one(h) for h in forms], columns=["canonical_key", "score"])
 
+    # else a filter on the result would be pushed below the distinct, and every cell's header compared
+    nearest = nearest.asNondeterministic()
     distinct = headers.select(F.col(header).alias("header")).where("header is not null").distinct()
     return distinct.withColumn("m", nearest(header_form(F.col("header")))).select("header", "m.canonical_key", "m.score")
 

@@ -17,6 +17,7 @@ from partloom.operators import extract as E
 from partloom.operators import validate as V
 from partloom.operators.units import to_canonical_units
 from partloom.plans import catalogue_queries as Q
+from partloom.session import cut_lineage
 from partloom.sources.tables import table
 
 
@@ -27,7 +28,8 @@ def table_candidates(spark: SparkSession, folder: str) -> DataFrame:
     named = Q._naming(spark, folder).select(F.col("_p").alias("product_id"), F.col("_s").alias("source"), "chunk_id", "locator")
     cells = E.cells_of(chunks, "chunk_id", "cells", [])
     names = specs.select(F.explode(F.concat("aliases", F.array(F.replace("canonical_key", F.lit("_"), F.lit(" "))))).alias("alias"), "canonical_key")
-    keys = E.match_headers(cells, "header", names).where("canonical_key is not null").select("header", "canonical_key")
+    # the few distinct headers are matched once; the plan that uses them then has no Python in it
+    keys = cut_lineage(E.match_headers(cells, "header", names).where("canonical_key is not null").select("header", "canonical_key"))
     return named.join(cells.join(keys, "header"), "chunk_id").select("product_id", "canonical_key", "value", "source", "chunk_id", "locator")
 
 
