@@ -29,7 +29,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str]) ->
 
 def replace_children(children: DataFrame, parent: str, fresh: DataFrame) -> DataFrame:
     """Child rows with those of the parents in ``fresh`` replaced as a whole."""
-    return children.join(fresh.select(parent).distinct(), parent, "left_anti").unionByName(fresh)
+    return children.join(fresh.select(parent).distinct(), parent, "left_anti").select(*children.columns).unionByName(fresh)
 
 
 def changed_keys(stored: DataFrame, fresh: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:

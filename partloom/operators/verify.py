@@ -11,7 +11,7 @@ def identifier_codes(text: Column, least: int, most: int, segments: int = 5) ->
 
     An identifier is a run of up to ``segments`` pieces of letters and digits with nothing but blanks and ``-_./,`` between
     them. It neither goes on behind a separator nor follows one directly; codes shorter than ``least`` or longer than
-    ``most`` are left out. Null text gives null. (The expression is built once per row from two splits of the text.)
+    ``most`` are left out. A null text has none. (The expression is built once per row from two splits of the text.)
     """
     t = F.upper(text)
     pieces = F.regexp_extract_all(t, F.lit("([A-Z0-9]+)"), F.lit(1))

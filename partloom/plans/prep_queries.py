@@ -9,6 +9,7 @@ from partloom.functions.text import attribute_key, reference_key
 from partloom.operators.references import broken_by_period, broken_references
 from partloom.operators.units import to_canonical_units, value_milli
 from partloom.operators.wide import scoped_specs, to_wide, typed_cells, wide_columns
+from partloom.plans import prep_sql
 from partloom.sources.tables import table
 
 
@@ -112,3 +113,4 @@ ORACLE = {
     "p3_found": f"SELECT DISTINCT ref_table, ref_field, row_id, kind FROM ({_ref_sql()}) WHERE kind IS NOT NULL",
     "p3_by_month": f"SELECT ref_table, ref_field, month, count(*) AS n_refs, count(*) FILTER (kind = 'missing') AS n_missing, count(*) FILTER (kind = 'late') AS n_late FROM ({_ref_sql()}) GROUP BY ALL",
 }
+ORACLE |= {"p1_found": prep_sql.P1_FOUND, "p5_found": prep_sql.P5_FOUND}
