@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partloom.session import cut_lineage
+
 # Letters with marks and look-alike Cyrillic and Greek letters, and the plain letters they stand for.
 _MARKED = "äàáâãåāăąæçćčďđèéêëēěęğìíîïīłñńňòóôõöøōőřśšşťùúûüūůűýÿžźż"
 _PLAIN = "aaaaaaaaaacccddeeeeeeegiiiiilnnnoooooooorsssttuuuuuuuyyzzz"
@@ -118,18 +120,20 @@ def match_names(
     The gram index has a few rows per character of the reference list; Spark broadcasts it when it finds it small enough
     and joins by shuffle otherwise. Nothing about the values is collected.
     """
-    general = general_words(entries, entry_id, name)
-    forms = reference_names(entries, entry_id, name, aliases, general)
+    # written once: the long normalising expressions would otherwise stand in every branch of the plan
+    general = cut_lineage(general_words(entries, entry_id, name))
+    forms = cut_lineage(reference_names(entries, entry_id, name, aliases, general))
     postings = forms.select("entry_id", "form", F.explode(_grams(F.col("form"))).alias("gram"))
     total = forms.select(F.countDistinct("entry_id").alias("n_entries"))
     frequency = postings.groupBy("gram").agg(F.countDistinct("entry_id").alias("df"))
     w = F.log((F.col("n_entries") + 1) / F.col("df"))
     weight = frequency.join(F.broadcast(total)).select("gram", (w * w).alias("w2"))
+    weight = cut_lineage(weight)
     index = postings.join(weight, "gram")
     size = index.groupBy("entry_id", "form").agg(F.sqrt(F.sum("w2")).alias("ref_norm")).withColumnRenamed("form", "ref_form")
     unknown = total.select((F.log(F.col("n_entries") + 1.0) ** 2).alias("w_unknown"))
 
-    distinct = values.select(F.col(value).alias("value")).where("value is not null").distinct().withColumn("form", normalise_name(F.col("value")))
+    distinct = cut_lineage(values.select(F.col(value).alias("value")).where("value is not null").distinct().withColumn("form", normalise_name(F.col("value"))))
     queries = distinct.select("form").where(~F.col("form").isin(*NO_NAME)).distinct()
     grams = queries.select("form", F.explode(_grams(F.col("form"))).alias("gram")).join(weight, "gram", "left").join(F.broadcast(unknown))
     norms = grams.groupBy("form").agg(F.sqrt(F.sum(F.coalesce("w2", "w_unknown"))).alias("norm"))
