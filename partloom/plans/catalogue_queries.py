@@ -16,6 +16,7 @@ from partloom.operators import validate as V
 from partloom.operators.units import to_canonical_units
 from partloom.operators.verify import naming_chunks
 from partloom.plans.prep_queries import p1_wide
+from partloom.plans.prep_sql import canonical
 from partloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -34,7 +35,7 @@ def query(sql: str | None = None):
 
 _REF = "lower(trim({0}))"
 _NORM = "regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g')"
-_CAT = "regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[\\s\\-/]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '^_+|_+$', '', 'g')"
+_CAT = "regexp_replace(regexp_replace(regexp_replace(lower(trim(translate({0}, '\u00a0\u2007\u2009\u202f\u3000', '     '))), '[\\s\\-/]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '^_+|_+$', '', 'g')"
 _FILLER = "(" + ", ".join(f"'{x}'" for x in ["", *X.NOT_STATED]) + ")"
 
 
@@ -347,28 +348,40 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("authority", F.coalesce("authority", F.lit(9))).withColumn("value_key", A.value_key(F.col("canonical_value"), F.col("value")))
 
 
-@query()
-def adjudicate_claims(spark: SparkSession, d: str) -> DataFrame:
-    """The winning value per product and key, with conflict and close-call flags."""
-    return A.adjudicate(_claims(spark, d), ["product_id", "canonical_key"], "value_key", "candidate_id", "_s", "authority", "locator", "tier")
-
-
-_TEXT_CLAIMS = f"""
-WITH a AS ({_RANKED_SOURCES}),
-c AS (SELECT DISTINCT {_REF.format('product_id')} AS product_id, canonical_key, candidate_id, {_REF.format('source_id')} AS sid, tier, locator, value FROM candidates WHERE canonical_key IN (SELECT canonical_key FROM attribute_specs WHERE value_type = 'enum')),
-s AS (SELECT c.*, 'c:' || {_CAT.format('value')} AS vkey, coalesce(authority, 9) AS authority,
+_ADJUDICATED = f"""
+s AS (SELECT *,
   round(0.40 * CASE locator WHEN 'table_cell' THEN 1.0 WHEN 'structured_field' THEN .85 WHEN 'prose' THEN .55 WHEN 'inferred' THEN .25 ELSE .2 END
-  + 0.35 * CASE coalesce(authority, 9) WHEN 1 THEN 1.0 WHEN 2 THEN .8 WHEN 3 THEN .65 WHEN 4 THEN .45 WHEN 5 THEN .3 WHEN 6 THEN .15 ELSE .1 END
-  + 0.10 * CASE tier WHEN 'table' THEN 1.0 WHEN 'llm' THEN .75 WHEN 'rule' THEN .7 ELSE .5 END, 6) AS s
-  FROM c LEFT JOIN a USING (sid) WHERE value IS NOT NULL AND lower(trim(value)) NOT IN {_FILLER}),
+  + 0.35 * CASE authority WHEN 1 THEN 1.0 WHEN 2 THEN .8 WHEN 3 THEN .65 WHEN 4 THEN .45 WHEN 5 THEN .3 WHEN 6 THEN .15 ELSE .1 END
+  + 0.10 * CASE tier WHEN 'table' THEN 1.0 WHEN 'llm' THEN .75 WHEN 'rule' THEN .7 ELSE .5 END, 6) AS s FROM c),
 v AS (SELECT product_id, canonical_key, vkey, round(max(s) + 0.15 * least(count(DISTINCT sid), 3) / 3, 6) AS score, count(DISTINCT sid) AS n_sources, min(authority) AS authority, count(*) AS agreement, arg_min(candidate_id, (-s, candidate_id)) AS item FROM s GROUP BY ALL),
 r AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS nxt, lead(authority) OVER w AS nxta, count(*) OVER (PARTITION BY product_id, canonical_key) AS n_values FROM v WINDOW w AS (PARTITION BY product_id, canonical_key ORDER BY score DESC, vkey)),
 t AS (SELECT *, coalesce(authority = 1 AND nxta = 1, false) AS conflict FROM r WHERE rank = 1)
 """
+_CLAIM = f"SELECT DISTINCT {_REF.format('product_id')} AS product_id, canonical_key, candidate_id, {_REF.format('source_id')} AS sid, tier, locator, value"
+_TEXT_CLAIMS = f"""
+WITH a AS ({_RANKED_SOURCES}),
+c AS (SELECT x.*, 'c:' || {_CAT.format('value')} AS vkey, coalesce(authority, 9) AS authority FROM ({_CLAIM} FROM candidates WHERE canonical_key IN (SELECT canonical_key FROM attribute_specs WHERE value_type = 'enum')) x
+  LEFT JOIN a USING (sid) WHERE value IS NOT NULL AND lower(trim(value)) NOT IN {_FILLER}),
+{_ADJUDICATED}"""
+_ALL_CLAIMS = f"""
+WITH {canonical(f"{_CLAIM}, canonical_key AS k, unit, raw_text, agreement_count, consistency_ratio, chunk_id, span FROM candidates")},
+a AS ({_RANKED_SOURCES}),
+c1 AS (SELECT cv.*, coalesce(authority, 9) AS authority, CASE WHEN canonical_value IS NOT NULL THEN 'q:' || printf('%.6f', round(canonical_value, 6) + 0.0)
+  WHEN value IS NOT NULL AND lower(trim(value)) NOT IN {_FILLER} THEN 'c:' || {_CAT.format('value')} END AS vkey FROM cv LEFT JOIN a USING (sid)),
+c AS (SELECT * FROM c1 WHERE vkey IS NOT NULL),
+{_ADJUDICATED}"""
+_DECIDED = """SELECT product_id, canonical_key, CASE WHEN NOT conflict THEN item END AS winner, CASE WHEN NOT conflict THEN vkey END AS value_key, round(score, 4) AS top_score, agreement, n_sources, n_values, conflict,
+  NOT conflict AND coalesce(round(score - nxt, 6) < 0.15, false) AS close_call FROM t"""
+
+
+@query(_ALL_CLAIMS + _DECIDED)
+def adjudicate_claims(spark: SparkSession, d: str) -> DataFrame:
+    """The winning value per product and key, with conflict and close-call flags."""
+    x = A.adjudicate(_claims(spark, d), ["product_id", "canonical_key"], "value_key", "candidate_id", "_s", "authority", "locator", "tier")
+    return x.withColumn("top_score", F.round("top_score", 4))
 
 
-@query(_TEXT_CLAIMS + """SELECT product_id, canonical_key, CASE WHEN NOT conflict THEN item END AS winner, CASE WHEN NOT conflict THEN vkey END AS value_key, round(score, 4) AS top_score, agreement, n_sources, n_values, conflict,
-  NOT conflict AND coalesce(round(score - nxt, 6) < 0.15, false) AS close_call FROM t""")
+@query(_TEXT_CLAIMS + _DECIDED)
 def adjudicate_enums(spark: SparkSession, d: str) -> DataFrame:
     """Adjudication of the enumerated keys, whose values need no unit."""
     enums = table(spark, d, "attribute_specs").where("value_type = 'enum'").select("canonical_key").distinct()
@@ -382,7 +395,16 @@ def adjudication_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return adjudicate_enums(spark, d).groupBy(o.alias("outcome"), "canonical_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""
+WITH {canonical(f"{_CLAIM}, canonical_key AS k, unit, raw_text, agreement_count, consistency_ratio, chunk_id, span FROM candidates")},
+x AS (SELECT p.category_code, s.*, cv.value, cv.canonical_value AS q, regexp_replace(lower(cv.value), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS code FROM cv JOIN products p ON {_REF.format('p.id')} = cv.product_id
+  JOIN attribute_specs s ON s.category_code = p.category_code AND s.canonical_key = cv.canonical_key)
+SELECT category_code, canonical_key, count(*) AS n, sum(CASE value_type WHEN 'quantity' THEN (q IS NOT NULL)::INT WHEN 'enum' THEN (code <> '')::INT END)::BIGINT AS type_ok,
+  sum(CASE WHEN value_type = 'quantity' THEN (q IS NOT NULL)::INT END)::BIGINT AS unit_ok,
+  sum(CASE WHEN value_type = 'enum' THEN list_contains([regexp_replace(lower(a), '[^\\p{{L}}\\p{{N}}]+', '', 'g') FOR a IN allowed_values], code)::INT END)::BIGINT AS enum_ok,
+  sum(CASE WHEN value_type = 'quantity' AND q IS NOT NULL THEN (q BETWEEN least(plausible_min, plausible_max) AND greatest(plausible_min, plausible_max))::INT END)::BIGINT AS range_ok
+FROM x GROUP BY ALL
+""")
 def value_checks(spark: SparkSession, d: str) -> DataFrame:
     """Type, unit, enumeration and range checks of every candidate, counted per category and key."""
     specs = table(spark, d, "attribute_specs")

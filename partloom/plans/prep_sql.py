@@ -32,21 +32,26 @@ def _unit_in(c: str) -> str:
     return rf"nullif(trim(CASE WHEN contains({c}, '[') THEN regexp_extract({c}, '\[([^\]]*)\]', 1) ELSE regexp_extract({c}, '{_NU}', 2) END), '')"
 
 
-P5_FOUND = rf"""
-WITH unit(alias, dim, factor, shift) AS (VALUES {_UNITS}),
-spec AS (SELECT canonical_key AS k, any_value(u.dim) AS dim, any_value(u.factor) AS factor, any_value(u.shift) AS shift FROM attribute_specs s JOIN unit u ON u.alias = s.canonical_unit GROUP BY 1),
-c AS (SELECT DISTINCT candidate_id, {_KEY.format('canonical_key')} AS k, value, unit, raw_text FROM candidates),
-n AS (SELECT c.*, coalesce(nullif(regexp_extract({_WITHOUT.format('value')}, '{_NU}', 1), ''), nullif(regexp_extract({_WITHOUT.format('raw_text')}, '{_NU}', 1), '')) AS num,
-  {_unit_in('raw_text')} AS ru, {_unit_in('value')} AS vu, nullif(trim(unit), '') AS uu FROM c),
-u AS (SELECT n.*, spec.dim AS sdim, spec.factor AS sf, spec.shift AS ss, coalesce(a.dim, b.dim, d.dim) AS dim, coalesce(a.factor, b.factor, d.factor) AS f, coalesce(a.shift, b.shift, d.shift) AS o,
-  {_BARE.format('num')} AS t, regexp_matches(num, '^\s*[-−–]') AS neg
-  FROM n JOIN spec USING (k) LEFT JOIN unit a ON a.alias = ru LEFT JOIN unit b ON b.alias = vu LEFT JOIN unit d ON d.alias = uu WHERE num IS NOT NULL),
-v AS (SELECT *, CASE WHEN neg THEN -1 ELSE 1 END * CASE
+def canonical(rows: str) -> str:
+    """CTEs that end with ``cv``: the rows (with columns k, value, unit, raw_text) and their ``canonical_value``."""
+    return rf"""unit(alias, dim, factor, shift) AS (VALUES {_UNITS}),
+spec AS (SELECT canonical_key AS k, any_value(u.dim) AS sdim, any_value(u.factor) AS sf, any_value(u.shift) AS ss FROM attribute_specs s JOIN unit u ON u.alias = s.canonical_unit GROUP BY 1),
+c0 AS ({rows}),
+n0 AS (SELECT c0.*, coalesce(nullif(regexp_extract({_WITHOUT.format('value')}, '{_NU}', 1), ''), nullif(regexp_extract({_WITHOUT.format('raw_text')}, '{_NU}', 1), '')) AS num,
+  {_unit_in('raw_text')} AS ru, {_unit_in('value')} AS vu, nullif(trim(unit), '') AS uu FROM c0),
+u0 AS (SELECT n0.*, sdim, sf, ss, coalesce(a.dim, b.dim, d.dim) AS dim, coalesce(a.factor, b.factor, d.factor) AS f, coalesce(a.shift, b.shift, d.shift) AS o, {_BARE.format('num')} AS t
+  FROM n0 LEFT JOIN spec USING (k) LEFT JOIN unit a ON a.alias = ru LEFT JOIN unit b ON b.alias = vu LEFT JOIN unit d ON d.alias = uu),
+v0 AS (SELECT *, CASE WHEN regexp_matches(num, '^\s*[-−–]') THEN -1 ELSE 1 END * CASE
   WHEN contains(t, '/') THEN coalesce(try_cast(nullif(regexp_extract(t, '^([0-9]+)[ -]', 1), '') AS DOUBLE), 0)
     + try_cast(regexp_extract(t, '([0-9]+)/([0-9]+)$', 1) AS DOUBLE) / nullif(try_cast(regexp_extract(t, '([0-9]+)/([0-9]+)$', 2) AS DOUBLE), 0)
   WHEN regexp_matches(t, '[{_ALL_PARTS}]$') THEN coalesce(try_cast(nullif(regexp_extract(t, '^([0-9]+)', 1), '') AS DOUBLE), 0) + CASE {_PARTS} END
-  ELSE try_cast(replace({_UNGROUPED}, ',', '.') AS DOUBLE) END AS x FROM u WHERE dim = sdim)
-SELECT DISTINCT candidate_id, round(round(CASE WHEN f = sf AND o = ss THEN x ELSE (x * f + (o - ss)) / sf END * 1000, 7))::BIGINT AS value_milli FROM v WHERE x IS NOT NULL
+  ELSE try_cast(replace({_UNGROUPED}, ',', '.') AS DOUBLE) END AS x FROM u0),
+cv AS (SELECT *, CASE WHEN dim = sdim THEN CASE WHEN f = sf AND o = ss THEN x ELSE (x * f + (o - ss)) / sf END END AS canonical_value FROM v0)"""
+
+
+P5_FOUND = f"""
+WITH {canonical(f"SELECT DISTINCT candidate_id, {_KEY.format('canonical_key')} AS k, value, unit, raw_text FROM candidates")}
+SELECT DISTINCT candidate_id, round(round(canonical_value * 1000, 7))::BIGINT AS value_milli FROM cv WHERE canonical_value IS NOT NULL
 """
 
 _PLAIN = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
