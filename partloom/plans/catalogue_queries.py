@@ -16,7 +16,7 @@ from partloom.operators import validate as V
 from partloom.operators.units import to_canonical_units
 from partloom.operators.verify import naming_chunks
 from partloom.plans.prep_queries import p1_wide
-from partloom.plans.prep_sql import canonical
+from partloom.plans.prep_sql import WIDE_NUMBERS, canonical
 from partloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -424,7 +424,17 @@ RULES = [
 ]
 
 
-@query()
+_PIVOT = "pv AS (SELECT product_id, " + ", ".join(f"max(q) FILTER (k = '{k}') AS {k}" for k in ("temp_min", "temp_max", "clamp_min", "clamp_max", "coil_voltage", "coil_power", "weight")) + " FROM wide GROUP BY 1)"
+
+
+@query(f"""
+{WIDE_NUMBERS}, {_PIVOT},
+r AS (SELECT product_id, 'temperature_order' AS rule_id, 'error' AS severity, temp_min < temp_max AS passed, ['temp_min', 'temp_max'] AS keys FROM pv
+UNION ALL SELECT product_id, 'clamping_order', 'error', clamp_min <= clamp_max, ['clamp_min', 'clamp_max'] FROM pv
+UNION ALL SELECT product_id, 'power_with_voltage', 'warn', CASE WHEN coil_power IS NOT NULL AND coil_voltage >= 110 THEN coil_power > 2 AND coil_power < 60 END, ['coil_power'] FROM pv
+UNION ALL SELECT product_id, 'weight_in_range', 'warn', CASE WHEN weight > 0 THEN weight <= 24000 END, ['weight'] FROM pv)
+SELECT product_id, rule_id, severity, passed, unnest(keys) AS key FROM r WHERE passed IS NOT NULL
+""")
 def relational_rules(spark: SparkSession, d: str) -> DataFrame:
     """Rules between attributes of a product, on the wide table."""
     return V.apply_rules(p1_wide(spark, d), "product_id", RULES)

@@ -63,3 +63,12 @@ x AS (SELECT r.id, s.canonical_key, CASE s.value_type WHEN 'quantity' THEN regex
   FROM r JOIN attribute_specs s ON s.category_code = r.category_code AND s.canonical_key = r.k)
 SELECT id AS product_id, canonical_key FROM x GROUP BY ALL HAVING NOT bool_or(ok)
 """
+
+
+#: ``wide``: product, key and number of the quantities of a product's category, the last readable one of each key
+WIDE_NUMBERS = rf"""
+WITH {canonical(f"SELECT p.id AS product_id, p.category_code, {_KEY.format('v.canonical_key')} AS k, v.value_text AS value, v.unit, NULL::VARCHAR AS raw_text, v.created_at, v.loaded_at FROM provenance v JOIN products p ON lower(trim(p.id)) = lower(trim(v.product_id)) WHERE trim(v.value_text) <> ''")},
+wide AS (SELECT product_id, k, arg_max(coalesce(canonical_value, x), (created_at, loaded_at, coalesce(canonical_value, x))) AS q FROM cv
+  JOIN attribute_specs s ON s.category_code = cv.category_code AND s.canonical_key = cv.k AND s.value_type = 'quantity'
+  WHERE regexp_matches(trim(translate(value, '{chr(0xa0)}{chr(0x202f)}', '  ')), '{_re2(_STATED_NUMBER)}') GROUP BY ALL)
+"""
