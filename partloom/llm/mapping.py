@@ -34,6 +34,10 @@ SHORT = {
 }
 
 
+#: rows of the reference list's gram index (about 60 bytes each) up to which it is broadcast
+BROADCAST_ROWS = 300_000
+
+
 def normalise_name(c: Column) -> Column:
     """A typed company name in comparable form: plain lower-case Latin words without remarks, numbers and legal forms.
 
@@ -117,8 +121,8 @@ def match_names(
     blanks, to ``full_likeness``; a reference form of under 6 letters (a code) has to agree exactly. Among the entries that
     pass, the best mean of cosine and likeness is ``best_id``; ``entry_id`` is the same, or null when no entry passes or
     the lead over the next one is below ``margin``. Repeated values give one row; an empty reference list maps nothing.
-    The gram index has a few rows per character of the reference list; Spark broadcasts it when it finds it small enough
-    and joins by shuffle otherwise. Nothing about the values is collected.
+    The gram index has a few rows per character of the reference list; it is broadcast when it is counted to have at most
+    ``BROADCAST_ROWS`` rows and joined by shuffle otherwise. Nothing about the values is collected.
     """
     # written once: the long normalising expressions would otherwise stand in every branch of the plan
     general = cut_lineage(general_words(entries, entry_id, name))
@@ -129,15 +133,24 @@ def match_names(
     w = F.log((F.col("n_entries") + 1) / F.col("df"))
     weight = frequency.join(F.broadcast(total)).select("gram", (w * w).alias("w2"))
     weight = cut_lineage(weight)
-    index = postings.join(weight, "gram")
+    index = cut_lineage(postings.join(weight, "gram"))
+    small = index.count() <= BROADCAST_ROWS
+    spark = values.sparkSession
+    # a number of tasks of their own: the distinct forms are few bytes, but each meets many postings; another number than
+    # that of other shuffles, for an equal one is taken for redundant and then made into one task
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism) + 1
     size = index.groupBy("entry_id", "form").agg(F.sqrt(F.sum("w2")).alias("ref_norm")).withColumnRenamed("form", "ref_form")
     unknown = total.select((F.log(F.col("n_entries") + 1.0) ** 2).alias("w_unknown"))
 
     distinct = cut_lineage(values.select(F.col(value).alias("value")).where("value is not null").distinct().withColumn("form", normalise_name(F.col("value"))))
-    queries = distinct.select("form").where(~F.col("form").isin(*NO_NAME)).distinct()
-    grams = queries.select("form", F.explode(_grams(F.col("form"))).alias("gram")).join(weight, "gram", "left").join(F.broadcast(unknown))
+    queries = distinct.select("form").where(~F.col("form").isin(*NO_NAME)).distinct().repartition(tasks, "form")
+    grams = queries.select("form", F.explode(_grams(F.col("form"))).alias("gram"))
+    # the index has at least as many rows as there are weights
+    grams = grams.join(F.broadcast(weight), "gram", "left") if small else grams.repartition(tasks, "gram").join(weight.repartition(tasks, "gram"), "gram", "left")
+    grams = grams.join(F.broadcast(unknown))
     norms = grams.groupBy("form").agg(F.sqrt(F.sum(F.coalesce("w2", "w_unknown"))).alias("norm"))
-    shared = grams.where("w2 is not null").select("form", "gram", "w2").join(index.select("gram", "entry_id", F.col("form").alias("ref_form")), "gram")
+    found, entry = grams.where("w2 is not null").select("form", "gram", "w2"), index.select("gram", "entry_id", F.col("form").alias("ref_form"))
+    shared = found.join(F.broadcast(entry), "gram") if small else found.repartition(tasks, "gram").join(entry.repartition(tasks, "gram"), "gram")
     dots = shared.groupBy("form", "entry_id", "ref_form").agg(F.sum("w2").alias("dot"))
     scored = dots.join(size, ["entry_id", "ref_form"]).join(norms, "form").withColumn("cosine", F.col("dot") / (F.col("norm") * F.col("ref_norm")))
     near = scored.where(F.col("cosine") >= threshold).join(F.broadcast(general))
