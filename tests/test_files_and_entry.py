@@ -61,4 +61,4 @@ def test_revision_stream(spark, tmp_path):
 
 def test_entry_lists(spark):
     q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q) and all(callable(f) for f in q.values()) and len(q) > 60
+    assert set(o) <= set(q) and all(callable(f) for f in q.values()) and len(q) > 50
