@@ -11,6 +11,9 @@ NOT_STATED = ["n/a", "n.a.", "-", "--", "---", "?", "tbc", "tbd", "unknown", "no
 #: Blanks other than U+0020 that occur in typed text: tab, line ends, no-break, narrow no-break, thin and ideographic.
 ODD_BLANKS = "\t\n\r\u00a0\u2007\u2009\u202f\u3000\ufeff"
 
+#: Unicode's space separators (Zs): what trim() takes off in the SQL of the queries.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
 
 def trimmed(c: Column) -> Column:
     """``c`` with odd blanks turned into spaces and without surrounding ones; null stays null."""

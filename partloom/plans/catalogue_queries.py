@@ -58,7 +58,7 @@ def mpn_variants(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT canonical_key, {_CAT.format('value_text')} AS value, count(*) AS n FROM provenance WHERE value_text IS NOT NULL AND NOT regexp_matches(value_text, '[^ -~]') GROUP BY ALL")
 def categorical_values(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "provenance").where("value_text is not null").where(~F.col("value_text").rlike("[^ -~]"))
+    x = table(spark, d, "provenance").where("value_text is not null")
     return x.groupBy("canonical_key", X.categorical(F.col("value_text")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -81,8 +81,8 @@ def split_hash(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS content_hash, md5(lower(trim(text))) AS loose_hash FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^ -~\\n]')")
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").where("text is not null").where(~F.col("text").rlike("[^ -~\\n]"))
-    return x.select("doc_id", F.sha2("text", 256).alias("content_hash"), F.md5(F.lower(F.trim("text"))).alias("loose_hash"))
+    x = table(spark, d, "documents").where("text is not null")
+    return x.select("doc_id", F.sha2("text", 256).alias("content_hash"), F.md5(F.lower(F.btrim("text", F.lit(X.SPACES)))).alias("loose_hash"))
 
 
 # ---- chunks and cells -------------------------------------------------------------------------------------------

@@ -39,6 +39,20 @@ def test_text_functions(spark):
         assert one(spark, percent_bucket(F.lit(x), "split:")) == int(hashlib.sha256(f"split:{x}".encode()).hexdigest(), 16) % 100
 
 
+def test_rows_outside_ascii_are_hashed_and_counted(spark, tmp_path):
+    import hashlib
+
+    from partloom.plans.catalogue_queries import QUERIES
+
+    texts = ["plain", "Größe 5 °C", "a\tb", "\u00a0 Привет\u3000", "継手", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["content_hash"], r["loose_hash"]) for r in QUERIES["content_hash"](spark, str(tmp_path)).collect()}
+    assert got == {i: (hashlib.sha256(t.encode()).hexdigest(), hashlib.md5(t.strip(" \u00a0\u3000").lower().encode()).hexdigest()) for i, t in enumerate(texts) if t is not None}
+    values = [("k", "Cast Iron"), ("k", "cast-iron\u00ae"), ("k", "\u00a0CAST IRON"), ("k", "Größe"), ("k", None)]
+    spark.createDataFrame(values, "canonical_key string, value_text string").write.parquet(f"{tmp_path}/provenance.parquet")
+    assert {r["value"]: r["n"] for r in QUERIES["categorical_values"](spark, str(tmp_path)).collect()} == {"cast_iron": 3, "gre": 1}
+
+
 def test_adjudication(spark):
     rows = [  # group, key, item, source, authority, locator, tier
         ("single", "c:a", 1, "s1", 3, "prose", "rule"), ("single", "c:a", 1, "s1", 3, "prose", "rule"),
