@@ -158,6 +158,34 @@ def test_bm25_and_fusion(spark):
     assert [(r["doc_id"], r["rank"]) for r in R.reciprocal_rank_fusion([(a, 0.7), (b, 0.3)]).orderBy("rank").collect()] == [(6, 1), (5, 2)]
 
 
+def test_gram_topk_over_all_documents(spark, tmp_path):
+    from partloom.plans.catalogue_queries import QUERIES
+
+    assert dict(R.char_grams("Ab A ab")) == {" ab": 2, "ab ": 2, " ab ": 2, " a ": 1}
+    docs = [(1, "red valve 12 bar"), (2, "red red gland"), (3, None), (4, ""), (5, "blue valves 12"), (6, "a long text about other things"), (7, "KX-1207 pump")]
+    asked = [(100, "red valve", "M1"), (200, None, "KX-1207"), (300, "gland valveX", "M3"), (400, "zzz", None)]
+    d = spark.createDataFrame(docs, "doc_id int, text string")
+    q = spark.createDataFrame(asked, "sku_id int, description_fragment string, mpn string")
+    grams = {i: R.char_grams(t) for i, t in docs}
+    idf = {g: math.log(8 / (1 + sum(g in x for x in grams.values()))) + 1 for x in grams.values() for g in x}
+    vec = lambda c: {g: n * idf[g] for g, n in c.items() if g in idf}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for s, t, m in asked:
+        a = vec(R.char_grams(t or m))
+        for i, x in grams.items():
+            b = vec(x)
+            if set(a) & set(b):
+                want[s, i] = round(sum(a[g] * b[g] for g in a if g in b) / norm(a) / norm(b), 5)
+    for block in (512, 2):
+        got = {(r["query_id"], r["doc_id"]): round(r["score"], 5) for r in R.gram_topk(d, "doc_id", "text", q.withColumn("asked", F.coalesce("description_fragment", "mpn")), "sku_id", "asked", block=block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-5 for x in want)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    q.write.parquet(f"{tmp_path}/sku_inputs.parquet")
+    fused = {(r["query_id"], r["doc_id"]) for r in QUERIES["fused_topk"](spark, str(tmp_path)).collect()}
+    assert {(100, 5), (200, 7), (300, 1), (300, 5)} <= fused  # no whole token in common
+
+
 def test_dense_against_numpy(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(90, 8))
