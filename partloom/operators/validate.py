@@ -99,12 +99,25 @@ def apply_rules(wide: DataFrame, entity: str, rules: list[dict]) -> DataFrame:
     return rows.select(entity, "rule_id", "severity", "passed", F.explode("keys").alias("key"))
 
 
+def _median_of_others(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
+    """``df`` (with ``n``, the rows of the group) and ``name``: the median of ``x`` over the other rows of the group.
+
+    Rows are ranked once; without the own row each place from the own one on moves by one, so three values settle a group.
+    """
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(x)))
+    low, high = F.floor(F.col("n") / 2), F.floor((F.col("n") + 1) / 2)
+    at = lambda i: F.max(F.when(F.col("_r") == low + i, F.col(x)))
+    places = ranked.groupBy(*by).agg(F.array(at(0), at(1), at(2)).alias("_p"))
+    place = lambda p: F.get("_p", (p - low + F.when(F.col("_r") > p, 0).otherwise(1)).cast("int"))
+    return ranked.join(places, by).withColumn(name, (place(low) + place(high)) / 2).drop("_r", "_p")
+
+
 def family_outliers(values: DataFrame, family: str, key: str, member: str, value: str, gather: int = 4096) -> DataFrame:
     """``family, key, member, median, mad, deviation, coherent``: each value against the others of its family.
 
     Median and median absolute deviation leave the member itself out; fewer than five other values give no row. Without
-    spread, any other value is incoherent. Families of up to ``gather`` values are sorted once into an array; larger ones, where
-    leaving one out moves the median by at most one place, take the exact percentiles of the whole family instead.
+    spread, any other value is incoherent. Families of up to ``gather`` values are sorted once into an array; larger ones are
+    ranked by value and then by the deviation from each of their at most three medians, with the same results.
     """
     rows = values.where(F.col(value).isNotNull()).select(family, key, F.col(member).alias("member"), F.col(value).cast("double").alias("v"))
     sizes = rows.groupBy(family, key).count().where(F.col("count") > MIN_SIBLINGS)
@@ -120,11 +133,12 @@ def family_outliers(values: DataFrame, family: str, key: str, member: str, value
     each = each.withColumn("o", others).withColumn("median", middle(F.col("o")))
     each = each.withColumn("mad", middle(F.array_sort(F.transform("o", lambda v: F.abs(v - F.col("median"))))))
     each = each.select(family, key, F.element_at("a", F.col("i")).alias("own"), "median", "mad").select(family, key, F.col("own.member").alias("member"), F.col("own.v").alias("v"), "median", "mad")
-    large = rows.join(sizes.where(F.col("count") > gather).drop("count"), [family, key], "left_semi")
-    med = large.groupBy(family, key).agg(F.expr("percentile(v, 0.5)").alias("median"))
-    dev = large.join(med, [family, key]).withColumn("d", F.abs(F.col("v") - F.col("median")))
-    mad = dev.groupBy(family, key).agg(F.expr("percentile(d, 0.5)").alias("mad"))
-    each = each.unionByName(dev.join(mad, [family, key]).select(family, key, "member", "v", "median", "mad"))
+    large = rows.join(sizes.where(F.col("count") > gather).withColumnRenamed("count", "n"), [family, key])
+    large = _median_of_others(large, [family, key], "v", "median")
+    centres = large.select(family, key, F.col("median").alias("centre")).distinct()
+    dev = large.join(centres, [family, key]).withColumn("d", F.abs(F.col("v") - F.col("centre")))
+    dev = _median_of_others(dev, [family, key, "centre"], "d", "mad").where(F.col("median") == F.col("centre"))
+    each = each.unionByName(dev.select(family, key, "member", "v", "median", "mad"))
     deviation = F.when(F.col("mad") > 0, F.round(F.abs(F.col("v") - F.col("median")) / F.col("mad"), 6))
     coherent = F.when(F.col("mad") > 0, deviation <= MAX_DEVIATION).otherwise(F.col("v") == F.col("median"))
     return each.select(family, key, "member", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), deviation.alias("deviation"), coherent.alias("coherent"))

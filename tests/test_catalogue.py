@@ -99,6 +99,15 @@ def test_family_outliers(spark, gather):
             assert math.isclose(r["median"], med) and math.isclose(r["mad"], statistics.median(abs(v - med) for v in others), abs_tol=1e-6)
 
 
+def test_family_outliers_at_any_size(spark):
+    rng = random.Random(5)
+    rows = [(f"f{n}", "k", 1000 * n + i, rng.choice([1.0, 2.0, 2.5, 3.25, 7.0, 90.0, rng.random()])) for n in (6, 7, 8, 9, 30, 31) for i in range(n)]
+    rows += [("same", "k", i, 5.0) for i in range(7)] + [("same", "k", 8, 6.0)]
+    df = spark.createDataFrame(rows, "f string, k string, m int, v double")
+    run = lambda gather: sorted(map(tuple, V.family_outliers(df, "f", "k", "m", "v", gather).collect()))
+    assert run(3) == run(4096) and len(run(3)) == len(rows)
+
+
 def test_strangers_and_gaps(spark):
     rows = [("f", i, "k", "a" if i else "b") for i in range(7)] + [("f", i, "j", "x") for i in range(6)] + [("g", 9, "k", "z")]
     df = spark.createDataFrame(rows, "f string, m int, k string, v string")
