@@ -59,6 +59,19 @@ def test_revision_stream(spark, tmp_path):
     assert windowed_counts(spark.read.parquet(src).withColumn("at", F.col("fetched_at").cast("timestamp")), "at", "id").count() == 3
 
 
+def test_old_revisions_in_later_batches_are_kept_once(spark, tmp_path):
+    schema = "id string, content_hash string, fetched_at timestamp_ntz"
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    rows = [("S1", "h1", dt.datetime(2025, 6, 1)), ("S2", "h2", dt.datetime(2023, 1, 1)), (" s1", "h1", dt.datetime(2024, 1, 1)), ("S1", "h0", dt.datetime(2022, 1, 1))]
+    for row in rows:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files are taken in the order of their times
+    links = spark.createDataFrame([("P1", "S1"), ("P2", "S2")], "product_id string, source_id string")
+    assert recheck_sink(revision_stream(spark, src, spark.read.parquet(src).schema, max_files=1), links, out, str(tmp_path / "check")).awaitTermination(120)
+    got = spark.read.parquet(out)
+    assert sorted((r["product_id"], r["content_hash"]) for r in got.collect()) == [("p1", "h0"), ("p1", "h1"), ("p2", "h2")]
+
+
 def test_entry_lists(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and all(callable(f) for f in q.values()) and len(q) > 50
