@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def identifier_codes(text: Column, least: int, most: int, segments: int = 5) -> Column:
+def identifier_codes(text: Column, least: int, most: int) -> Column:
     """Distinct codes (letters and digits only) of the identifiers that stand whole in a text.
 
-    An identifier is a run of up to ``segments`` pieces of letters and digits with nothing but blanks and ``-_./,`` between
-    them. It neither goes on behind a separator nor follows one directly; codes shorter than ``least`` or longer than
-    ``most`` are left out. A null text has none. (The expression is built once per row from two splits of the text.)
+    An identifier is a run of pieces of letters and digits, as many as ``most`` characters allow, with nothing but blanks and
+    ``-_./,`` between them. It neither goes on behind a separator nor follows one directly; codes shorter than ``least`` or
+    longer than ``most`` are left out. A null text has none. (The expression is built once per row from two splits of the text.)
     """
     t = F.upper(text)
     pieces = F.regexp_extract_all(t, F.lit("([A-Z0-9]+)"), F.lit(1))
@@ -20,22 +20,32 @@ def identifier_codes(text: Column, least: int, most: int, segments: int = 5) ->
     lead = F.transform(gaps, lambda g: ~g.rlike(r"^[\-_./,]$"))
     trail = F.transform(gaps, lambda g: ~g.rlike(r"^[\-_./,]+$"))
     packed = F.struct(pieces.alias("p"), inner.alias("inner"), lead.alias("lead"), trail.alias("trail"))
+    kind = "array<struct<at:int,code:string>>"  # the last piece of a run, and its code
+    steps = F.array(*[F.lit(n) for n in range(2, most + 1)]).cast("array<int>")  # a piece has at least one character
 
-    def run(s: Column, n: int) -> Column:
+    def codes(s: Column) -> Column:
+        # gaps[i] is before piece i; the first and the last gap border on no other piece
         size = F.size(s["p"])
-        at = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
+        at = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+        fits = lambda runs: F.filter(runs, lambda x: F.length(x["code"]) <= most).cast(kind)
+        ones = fits(F.transform(F.filter(at, lambda i: (i == 0) | F.get(s["lead"], i)), lambda i: F.struct(i.alias("at"), F.get(s["p"], i).alias("code"))))
 
-        def code(i: Column) -> Column:
-            # gaps[i] is before piece i; the first and the last gap border on no other piece
-            ok = ((i == 0) | F.get(s["lead"], i)) & ((i + n == size) | F.get(s["trail"], i + n))
-            for k in range(1, n):
-                ok = ok & F.get(s["inner"], i + k)
-            return F.when(ok, F.array_join(F.slice(s["p"], i + 1, F.lit(n)), ""))
+        def longer(runs: Column) -> Column:
+            more = F.filter(runs, lambda x: (x["at"] + 1 < size) & F.get(s["inner"], x["at"] + 1))
+            return fits(F.transform(more, lambda x: F.struct((x["at"] + 1).alias("at"), F.concat(x["code"], F.get(s["p"], x["at"] + 1)).alias("code"))))
 
-        return F.filter(F.transform(at, code), lambda c: c.isNotNull() & F.length(c).between(least, most))
+        def step(acc: Column, _: Column) -> Column:
+            # runs that grew too long or came to an end are gone, so later steps have less to do
+            new = F.get(F.transform(F.array(longer(acc["live"])), lambda n: F.struct(n.alias("live"), F.concat(acc["all"], n).alias("all"))), F.lit(0))
+            return new.cast(f"struct<live:{kind},all:{kind}>")
+
+        first = F.get(F.transform(F.array(ones), lambda o: F.struct(o.alias("live"), o.alias("all"))), F.lit(0)).cast(f"struct<live:{kind},all:{kind}>")
+        runs = F.aggregate(steps, first, step)["all"]
+        whole = F.filter(runs, lambda x: (F.length(x["code"]) >= least) & ((x["at"] + 1 == size) | F.get(s["trail"], x["at"] + 1)))
+        return F.array_distinct(F.transform(whole, lambda x: x["code"]))
 
     # one evaluation of the splits for all runs
-    return F.get(F.transform(F.array(packed), lambda s: F.array_distinct(F.concat(*[run(s, n) for n in range(1, segments + 1)]))), F.lit(0))
+    return F.get(F.transform(F.array(packed), codes), F.lit(0))
 
 
 def naming_chunks(chunks: DataFrame, source: Column, text: str, keep: list[str], parts: DataFrame, part_source: str, code: str) -> DataFrame:

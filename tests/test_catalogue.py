@@ -31,6 +31,13 @@ def test_whole_identifiers(spark):
     assert got == cases
 
 
+def test_identifiers_of_many_pieces(spark):
+    cases = {"Part A-1-B-2-C-3-D 4 here": True, "1.5.4.6.3.0": False, "A 1 B 2 C 3 D 4": True, "A-1-B-2-C-3-D-4-E": False, "A-1-B;2-C-3-D-4": False, "": False, None: False}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["x"] for r in df.select("t", F.array_contains(identifier_codes(F.col("t"), 3, 8), "A1B2C3D4").alias("x")).collect()}
+    assert got == cases and one(spark, F.size(identifier_codes(F.lit("A-1"), 1, 0))) == 0
+
+
 def test_text_functions(spark):
     assert one(spark, mpn_variants(F.lit("ab-1 2"))) == ["AB 1 2", "AB-1 2", "AB-1-2", "AB.1.2", "AB12", "AB_1_2"]
     import hashlib
