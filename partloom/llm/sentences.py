@@ -65,9 +65,9 @@ def _lines(text: Column) -> Column:
     # line ends next to Thai text, before list lines and behind short lines stay
     t = F.regexp_replace(t, rf"{_wrap()}(?<![{_THAI}] {{0,1}}\n)(?![{_THAI}]| {{0,8}}(?:{_BULLET}|\d{{1,3}}[{_DOT})]) )", " ")
     for opening, inside, closing in [("„", "[^„“”\"\\n]", "[“”\"]"), ("“", "[^“”\\n]", "”"), ("«", "[^«»\\n]", "»"), ("「", "[^「」\\n]", "」"), ("『", "[^『』\\n]", "』"), ("\"", "[^\"\\n]", "\"")]:
-        t = F.regexp_replace(t, f"{opening}({inside}{{1,600}}){closing}", f"{_OPEN}$1{_CLOSE}")
+        t = F.regexp_replace(t, f"{opening}({inside}++){closing}", f"{_OPEN}$1{_CLOSE}")
     for opening, inside, closing in [("\\(", "[^()\\n]", "\\)"), ("（", "[^（）\\n]", "）"), ("\\[", "[^\\[\\]\\n]", "\\]"), ("【", "[^【】\\n]", "】")]:
-        t = F.regexp_replace(t, f"{opening}({inside}{{1,600}}){closing}", f"{_POPEN}$1{_PCLOSE}")
+        t = F.regexp_replace(t, f"{opening}({inside}++){closing}", f"{_POPEN}$1{_PCLOSE}")
     return t
 
 
@@ -90,11 +90,10 @@ def _points(t: Column) -> Column:
 
 
 def _inside(t: Column, opening: str, closing: str) -> Column:
-    """Terminators between two marks, masked."""
-    ahead = rf"(?=[^{opening}{closing}\n]{{0,600}}{closing})"
-    t = F.regexp_replace(t, rf"[.!?]{ahead}", _QUOTED)
-    t = F.regexp_replace(t, rf"[。！？｡…]{ahead}", _QUOTED_CJK)
-    return F.regexp_replace(t, rf"[।॥]{ahead}", _QUOTED_DANDA)
+    """Terminators between two marks, masked: those of the pieces that end in a closing mark."""
+    pieces = F.split(t, f"(?<=[{opening}{closing}\n])")
+    masks = _QUOTED * 3 + _QUOTED_CJK * 5 + _QUOTED_DANDA * 2
+    return F.array_join(F.transform(pieces, lambda s: F.when(s.endswith(closing), F.translate(s, ".!?。！？｡…।॥", masks)).otherwise(s)), "")
 
 
 def _marked(masked: Column) -> Column:

@@ -57,3 +57,11 @@ def test_many_sentences_cover_the_text(spark, n):
     one = "Sentence number five is here, 🙂 e.g. now. "
     got = cut(spark, [one * n, one * n])
     assert got[0] == [one.strip()] * n and got[1] == got[0]
+
+
+def test_long_quotations_and_brackets_stay_whole(spark):
+    inner = "It runs well. " * 60 + "It stays."
+    texts = [f"They wrote „{inner}“ and left.", f"The valve ({inner}) is red.", f"They wrote „See ({inner}) there.“ and left."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = sorted(map(tuple, split_sentences(df, "id", "t").collect()))
+    assert got == [(i, 0, len(t)) for i, t in enumerate(texts)]
