@@ -29,76 +29,121 @@ _DOT, _QUOTED, _QUOTED_CJK, _QUOTED_DANDA = "\ue001", "\ue002", "\ue003", "\ue00
 _OPEN, _CLOSE, _POPEN, _PCLOSE = "\ue020", "\ue021", "\ue022", "\ue023"
 _CUT = "\ue0ff"
 
-_BLANK = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u001c-\u001f]"
+# blanks other than the space and the line feed
+_ODD = r"[\t\x0b-\r\x1c-\x1f\x85\p{Z}&&[^ ]]"
 _THAI = r"฀-๿"
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 _START = rf"(?:[\p{{Lu}}\p{{Lt}}\p{{Lo}}\d{_OPEN}{_POPEN}¿¡—–\[<]|pH\b)"
 _LATIN_START = rf"(?:\p{{Lu}}\p{{Ll}}|\p{{Lu}}\s\p{{L}}|pH\s|[{_OPEN}¿¡—][\p{{L}}¿¡]|[{_CJK}\p{{IsDevanagari}}{_THAI}])"
 _END = rf"[{_CLOSE}{_PCLOSE}]"
 
-#: The width of wrapped texts. A line end is a wrap when the next word would not have fitted.
-WIDTH = 73
+#: Lengths of lines among which the width of wrapped texts is looked for.
+_WIDTHS = range(40, 201)
 
 _BULLET = r"[-*•–·‣▪]"
 _NOT_WORD = r"(?<![\p{L}\p{M}\p{N}.])"
 
 
-def _wrap() -> str:
-    """A line end behind a line of at most the width, before a word that did not fit (allowing for two characters)."""
-    fits = "|".join(rf"(?<=[^\n]{{{n}}}\n)(?=\S{{{max(1, WIDTH - 3 - n)}}})" for n in range(WIDTH - 1, WIDTH - 37, -4))
-    return rf"\n(?<![^\n]{{{WIDTH + 12}}}\n)(?:{fits})"
+def wrap_width(df: DataFrame, text: str) -> int | None:
+    """The width at which the texts of a corpus are wrapped; null when they are not.
+
+    A line end is a wrap at every width from its line's length to that with the next word. All line ends are counted, at each
+    length how many such ranges begin and end (a row per length comes back); the width is where the most ranges that are
+    gone ten characters later meet, at least three times as many as there.
+    """
+    lines = df.where(F.contains(F.col(text), F.lit("\n"))).select(F.split(F.col(text), "\n").alias("l"))
+    size = lambda x: F.length(F.rtrim(F.replace(x, F.lit("\r"), F.lit(""))))
+    word = lambda x: F.length(F.substring_index(F.ltrim(x), " ", 1))
+    ends = F.transform(F.slice("l", F.lit(1), F.size("l") - 1), lambda x, i: F.struct(size(x).alias("n"), word(F.get("l", i + 1)).alias("w")))
+    x = lines.select(F.inline(ends)).where((F.col("w") > 0) & F.col("n").between(1, _WIDTHS[-1]))
+    points = F.array(F.struct(F.col("n").alias("at"), F.lit(1).alias("d")), F.struct(F.least(F.col("n") + 1 + F.col("w"), F.lit(_WIDTHS[-1] + 1)).alias("at"), F.lit(-1).alias("d")))
+    change = {r["at"]: r["d"] for r in x.select(F.inline(points)).groupBy("at").agg(F.sum("d").alias("d")).collect()}
+    over = [sum(change.get(i, 0) for i in range(w + 1)) for w in range(_WIDTHS[-1] + 1)]
+    falls = [(over[w] - over[w + 10], -w) for w in _WIDTHS[:-10] if over[w] >= 3 * over[w + 10] and over[w] > 0]
+    return -max(falls)[1] if falls else None
+
+
+def _wrap(width: int) -> str:
+    """A line end behind a line of at most the width, before a word that did not fit (allowing for three characters, as texts are damaged)."""
+    fits = "|".join(rf"(?<=[^\n]{{{n}}}\n)(?=\S{{{max(1, width - 4 - n)}}})" for n in range(width - 2, max(width - 38, 3), -4))
+    return rf"\n(?<![^\n]{{{width + 11}}}\n)(?:{fits})"
 
 
 def _before_point(words: list[str]) -> str:
-    """A point with one of the words before it; the look-behind is tried at points only."""
-    alternatives = "|".join(w.replace(".", r"\.") for w in sorted(words, key=len, reverse=True))
-    return rf"\.(?<={_NOT_WORD}(?:{alternatives})\.)"
+    """Before the point just read stands one of the words; tried once per length of word."""
+    sizes: dict[int, list[str]] = {}
+    for w in words:
+        sizes.setdefault(len(w), []).append(w.replace(".", r"\."))
+    return "|".join(rf"(?<={_NOT_WORD}(?:{'|'.join(w)})\.)" for _, w in sorted(sizes.items()))
 
 
-def _lines(text: Column) -> Column:
-    """Quotations and brackets as marks, list numbers masked, wrapped lines joined; the length stays."""
-    t = F.regexp_replace(text, r"[-]", "x")
-    t = F.translate(t, "\r\t\u00a0\u2007\u2009\u202f\u3000", "       ")
+def _lines(text: Column, width: int | None) -> Column:
+    """List numbers masked, wrapped lines joined; the length stays."""
+    number = rf"( {{0,8}}\d{{1,3}})\.(?= +\S)"
+    t = F.regexp_replace(text, f"^{number}", f"$1{_DOT}")
     # the number of a list line; a wrapped line may also begin with a number and a point
     ref = "|".join(w.replace(".", r"\.") for w in [*NUMBERED, *ABBREVIATIONS])
-    t = F.regexp_replace(t, rf"(?m)^( {{0,8}}\d{{1,3}})\.(?= +\S)(?<![^\n]{{50}}[^\n.!?:;。！？…\"”»)\]] {{0,1}}\n {{0,8}}\d{{1,3}}\.)(?<!(?:{ref})\. {{0,1}}\n {{0,8}}\d{{1,3}}\.)", f"$1{_DOT}")
-    # line ends next to Thai text, before list lines and behind short lines stay
-    t = F.regexp_replace(t, rf"{_wrap()}(?<![{_THAI}] {{0,1}}\n)(?![{_THAI}]| {{0,8}}(?:{_BULLET}|\d{{1,3}}[{_DOT})]) )", " ")
-    for opening, inside, closing in [("„", "[^„“”\"\\n]", "[“”\"]"), ("“", "[^“”\\n]", "”"), ("«", "[^«»\\n]", "»"), ("「", "[^「」\\n]", "」"), ("『", "[^『』\\n]", "』"), ("\"", "[^\"\\n]", "\"")]:
-        t = F.regexp_replace(t, f"{opening}({inside}++){closing}", f"{_OPEN}$1{_CLOSE}")
-    for opening, inside, closing in [("\\(", "[^()\\n]", "\\)"), ("（", "[^（）\\n]", "）"), ("\\[", "[^\\[\\]\\n]", "\\]"), ("【", "[^【】\\n]", "】")]:
-        t = F.regexp_replace(t, f"{opening}({inside}++){closing}", f"{_POPEN}$1{_PCLOSE}")
-    return t
+    many = F.regexp_replace(t, rf"\n{number}(?<![^\n]{{50}}[^\n.!?:;。！？…\"”»)\]] {{0,1}}\n {{0,8}}\d{{1,3}}\.)(?<!(?:{ref})\. {{0,1}}\n {{0,8}}\d{{1,3}}\.)", f"\n$1{_DOT}")
+    if width:
+        # line ends next to Thai text, before list lines and behind short lines stay
+        many = F.regexp_replace(many, rf"{_wrap(width)}(?<![{_THAI}] {{0,1}}\n)(?![{_THAI}]| {{0,8}}(?:{_BULLET}|\d{{1,3}}[{_DOT})]) )", " ")
+    return F.when(F.contains(t, F.lit("\n")), many).otherwise(t)
+
+
+def _pairs(t: Column, mark: str, inside: str, end: str, opening: str, closing: str) -> Column:
+    """Pairs of marks of one kind in one line, as the two marks for all kinds; a text without the first one is passed on."""
+    found = F.regexp_replace(t, f"{_escaped(mark)}([^{inside}\\n]++)[{end}]", f"{opening}$1{closing}")
+    return F.when(F.contains(t, F.lit(mark)), found).otherwise(t)
+
+
+def _escaped(mark: str) -> str:
+    return "\\" + mark if mark in "([" else mark
+
+
+# opening mark, what may not stand inside, closing marks
+_QUOTES = [("„", "„“”\"", "“”\""), ("“", "“”", "”"), ("«", "«»", "»"), ("「", "「」", "」"), ("『", "『』", "』"), ("\"", "\"", "\"")]
+_BRACKETS = [("(", "()", ")"), ("（", "（）", "）"), ("[", "\\[\\]", "\\]"), ("【", "【】", "】")]
 
 
 def _points(t: Column) -> Column:
-    """Points that end nothing, masked."""
-    t = F.regexp_replace(t, r"\.(?=\d)(?<=\d\.)", _DOT)
-    t = F.regexp_replace(t, r"\.(?=[\p{Ll}\d\-_/]{2,}[./@\-]|(?:com|org|net|io|de|fr|example|invalid|test)\b)(?<=[\p{L}\p{N}\-_/]\.)", _DOT)
+    """Points that end nothing, masked: one pass, in which only points are looked at.
+
+    A point before a blank and a small letter ends no sentence as it is, so only others are compared with the words.
+    """
     firsts, seconds = sorted({a for a, _ in PHRASES}), sorted({b for _, b in PHRASES}, key=len, reverse=True)
-    t = F.regexp_replace(t, rf"\.(?=\s?(?:{'|'.join(seconds)})\.)(?<={_NOT_WORD}(?:{'|'.join(firsts)})\.)", _DOT)
-    t = F.regexp_replace(t, rf"\.(?<=(?:{'|'.join(f'{a}{_DOT} {{0,1}}{b}' for a, b in PHRASES)})\.)", _DOT)
-    t = F.regexp_replace(t, _before_point(ABBREVIATIONS), _DOT)
-    t = F.regexp_replace(t, _before_point(NUMBERED) + r"(?=\s{0,2}\d)", _DOT)
-    # initials and titles of one letter; after a number the letter is a unit
-    t = F.regexp_replace(t, r"\.(?=\s\p{Lu})(?<=(?<![\p{L}\p{M}\p{N}.°])(?<!\d\s)\p{Lu}\.)", _DOT)
-    # ordinals
-    t = F.regexp_replace(t, r"\.(?=\s\p{L})(?<=\b(?:der|dem|den|des|die|das|am|vom|zum|im|beim|bis)\s\d{1,3}\.)", _DOT)
-    t = F.regexp_replace(t, r"\.(?=\s(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Auflage)\b)(?<=\d\.)", _DOT)
+    kinds = "|".join([
+        r"(?=\d)(?<=\d\.)",
+        r"(?=[\p{Ll}\d\-_/]{2,}[./@\-]|(?:com|org|net|io|de|fr|example|invalid|test)\b)(?<=[\p{L}\p{N}\-_/]\.)",
+        rf"(?=\s?(?:{'|'.join(seconds)})\.)(?:{_before_point(firsts)})",
+        rf"(?!\s\p{{Ll}})(?:{_before_point([f'{a}.{gap}{b}' for a, b in PHRASES for gap in ('', ' ')])}|{_before_point(ABBREVIATIONS)})",
+        rf"(?=\s{{0,2}}\d)(?:{_before_point(NUMBERED)})",
+        # initials and titles of one letter; after a number the letter is a unit
+        r"(?=\s\p{Lu})(?<=(?<![\p{L}\p{M}\p{N}.°])(?<!\d\s)\p{Lu}\.)",
+        # ordinals
+        r"(?=\s\p{L})(?<=\d\.)(?<=\b(?:der|dem|den|des|die|das|am|vom|zum|im|beim|bis)\s\d{1,3}\.)",
+        r"(?=\s(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Auflage)\b)(?<=\d\.)",
+    ])
+    t = F.regexp_replace(t, rf"\.(?:{kinds})", _DOT)
     # an ellipsis inside a sentence
-    return F.regexp_replace(t, r"\.\.\.(?!\s+\p{Lu}|\s*(?:\n|$))", _DOT * 3)
+    return F.when(F.contains(t, F.lit("...")), F.regexp_replace(t, r"\.\.\.(?!\s+\p{Lu}|\s*(?:\n|$))", _DOT * 3)).otherwise(t)
 
 
 def _inside(t: Column, opening: str, closing: str) -> Column:
-    """Terminators between two marks, masked: those of the pieces that end in a closing mark."""
-    pieces = F.split(t, f"(?<=[{opening}{closing}\n])")
-    masks = _QUOTED * 3 + _QUOTED_CJK * 5 + _QUOTED_DANDA * 2
-    return F.array_join(F.transform(pieces, lambda s: F.when(s.endswith(closing), F.translate(s, ".!?。！？｡…।॥", masks)).otherwise(s)), "")
+    """Terminators between two marks, masked: in each piece up to a closing mark what stands behind the last opening one."""
+    ends, masks = ".!?。！？｡…।॥", _QUOTED * 3 + _QUOTED_CJK * 5 + _QUOTED_DANDA * 2
+
+    def masked(s: Column, n: Column) -> Column:
+        tail = F.substring_index(s, opening, -1)
+        return F.when(n > 0, F.concat(F.substring(s, F.lit(1), F.length(s) - F.length(tail)), F.translate(tail, ends, masks))).otherwise(s)
+
+    pieces = F.split(t, closing)
+    some = t.rlike(f"{opening}[^{closing}\n{ends}]*+[{ends}]")
+    return F.when(some, F.array_join(F.transform(pieces, lambda s, i: masked(s, F.size(pieces) - 1 - i)), closing)).otherwise(t)
 
 
 def _marked(masked: Column) -> Column:
     """The masked text with a cut mark after each sentence."""
-    cuts = "|".join([
+    cuts = [
         r"\n+",
         rf"[.!?]+{_END}*(?=\s+{_START})",  # a terminator before a blank and a beginning
         rf"[.!?](?<![.][.]){_END}*(?={_LATIN_START})",  # the blank is missing
@@ -108,28 +153,40 @@ def _marked(masked: Column) -> Column:
         rf"{_QUOTED_CJK}{_END}+(?!\s*(?:{GOES_ON}|{_END}))",
         rf"[。！？｡]+[!?]*{_END}*",
         rf"[।॥]+{_END}*",
-        rf" +(?=[{_THAI}])(?<=[{_THAI}] {{1,9}})",
-        rf" +(?=\p{{Lu}}\p{{Ll}}*\s\p{{Ll}})(?<=[{_THAI}] {{1,9}})",
-    ])
-    first = rf"(?=[\n.!?…{_QUOTED}{_QUOTED_CJK}。！？｡।॥ ])"  # most characters fail here
-    return F.regexp_replace(masked, f"{first}(?:{cuts})", "$0" + _CUT)
+    ]
+    thai = [rf" +(?=[{_THAI}])(?<=[{_THAI}] {{1,9}})", rf" +(?=\p{{Lu}}\p{{Ll}}*\s\p{{Ll}})(?<=[{_THAI}] {{1,9}})"]
+    first = rf"\n\p{{Po}}{_QUOTED}-{_QUOTED_CJK}"  # most characters fail here
+    plain = F.regexp_replace(masked, f"(?=[{first}])(?:{'|'.join(cuts)})", "$0" + _CUT)
+    blanks = F.regexp_replace(masked, f"(?=[{first} ])(?:{'|'.join([*cuts, *thai])})", "$0" + _CUT)
+    return F.when(masked.rlike(f"[{_THAI}] "), blanks).otherwise(plain)
+
+
+def _positions(pieces: Column) -> Column:
+    """Array of struct(start_pos, end_pos) of the pieces that are not blank: blocks of 64 keep it linear for texts of very many sentences."""
+    block = 64
+    spans = "array<struct<start_pos:int,end_pos:int>>"
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / block).cast("int")), lambda b: F.slice(pieces, b * block + 1, F.lit(block)))
+
+    def starts(sizes: Column) -> Column:
+        kind = "struct<at:int,out:array<int>>"
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")).cast(kind)
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")).cast(kind)
+        return F.aggregate(sizes, first, step)["out"]
 
+    def run(values: Column, start: Column) -> Column:
+        kind = f"struct<at:int,out:{spans}>"
+        first = F.struct(start.alias("at"), F.array().cast(spans).alias("out")).cast(kind)
 
-def _cumulated(lengths: Column) -> Column:
-    """Array of struct(from, n) for an array of lengths: blocks of 128 keep it linear for texts of very many sentences."""
-    block = 128
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int")), lambda b: F.slice(lengths, b * block + 1, F.lit(block)))
+        def step(acc: Column, s: Column) -> Column:
+            begin = acc["at"] + F.length(s) - F.length(F.ltrim(s))
+            span = F.array(F.struct(begin.alias("start_pos"), (begin + F.length(F.trim(s))).alias("end_pos")))
+            return F.struct((acc["at"] + F.length(s)).alias("at"), F.when(F.trim(s) == "", acc["out"]).otherwise(F.concat(acc["out"], span)).alias("out")).cast(kind)
 
-    def run(values: Column, start: Column) -> Column:
-        kind = "struct<at:int,out:array<struct<at:int,n:int>>>"
-        first = F.struct(start.alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("out")).cast(kind)
-        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), n.alias("n")))).alias("out")).cast(kind)
         return F.aggregate(values, first, step)["out"]
 
-    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, n: a + n))
-    starts = run(sums, F.lit(0))
-    pairs = F.arrays_zip(blocks.alias("b"), starts.alias("s"))
-    return F.flatten(F.transform(pairs, lambda p: run(p["b"], p["s"]["at"])))
+    size = lambda b: F.length(F.array_join(b, ""))
+    every = F.transform(F.arrays_zip(blocks.alias("b"), starts(F.transform(blocks, size)).alias("s")), lambda p: run(p["b"], p["s"]))
+    return F.when(F.size(pieces) <= block, run(pieces, F.lit(0))).otherwise(F.flatten(every))
 
 
 def split_sentences(df: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -139,13 +196,19 @@ def split_sentences(df: DataFrame, row_id: str, text: str) -> DataFrame:
     one sentence per line. Together the sentences cover all that is not blank. Other columns of ``df`` are not read.
     """
     x = df.select(F.col(row_id).alias("row_id"), F.col(text).alias("_t")).where("_t is not null")
+    width = wrap_width(x, "_t")
     # in layers: each column is used several times by the next one
-    x = x.select("row_id", _lines(F.col("_t")).alias("_m")).select("row_id", _points(F.col("_m")).alias("_m"))
+    layer = lambda d, c: d.select("row_id", c.alias("_m"))
+    x = layer(x, F.when(F.col("_t").rlike("[\ue000-\uf8ff]"), F.regexp_replace("_t", "[\ue000-\uf8ff]", "x")).otherwise(F.col("_t")))
+    x = layer(x, F.regexp_replace("_m", _ODD, " "))
+    x = layer(x, _lines(F.col("_m"), width))
+    for mark in _QUOTES:
+        x = layer(x, _pairs(F.col("_m"), *mark, _OPEN, _CLOSE))
+    for mark in _BRACKETS:
+        x = layer(x, _pairs(F.col("_m"), *mark, _POPEN, _PCLOSE))
+    x = layer(x, _points(F.col("_m")))
     for opening, closing in ((_OPEN, _CLOSE), (_POPEN, _PCLOSE)):
-        x = x.select("row_id", F.when(F.col("_m").contains(closing), _inside(F.col("_m"), opening, closing)).otherwise(F.col("_m")).alias("_m"))
-    x = x.select("row_id", F.split(_marked(F.col("_m")), _CUT).alias("_s"))
-    piece = lambda s: F.struct(F.length(s).alias("n"), (F.length(s) - F.length(F.regexp_replace(s, f"^{_BLANK}+", ""))).alias("lead"), F.length(F.regexp_replace(F.regexp_replace(s, f"^{_BLANK}+", ""), f"{_BLANK}+$", "")).alias("core"))
-    x = x.select("row_id", F.transform("_s", piece).alias("_p"))
-    x = x.withColumn("_c", _cumulated(F.transform("_p", lambda p: p["n"])))
-    spans = F.transform(F.arrays_zip("_p", "_c"), lambda z: F.struct((z["_c"]["at"] + z["_p"]["lead"]).alias("start_pos"), (z["_c"]["at"] + z["_p"]["lead"] + z["_p"]["core"]).alias("end_pos")))
-    return x.select("row_id", F.inline(F.filter(spans, lambda s: s["end_pos"] > s["start_pos"])))
+        x = layer(x, _inside(F.col("_m"), opening, closing))
+    x = layer(x, _marked(F.col("_m")))
+    x = x.select("row_id", F.split(F.replace("_m", F.lit("\n"), F.lit(" ")), _CUT).alias("_s"))
+    return x.select("row_id", F.inline(_positions(F.col("_s"))))
