@@ -26,9 +26,13 @@ def evidence_score(locator: Column, authority: Column, tier: Column) -> Column:
     return WEIGHTS["locator"] * _scored(locator, LOCATOR_SCORE, 0.2) + WEIGHTS["authority"] * _scored(authority, AUTHORITY_SCORE, 0.1) + WEIGHTS["tier"] * _scored(tier, TIER_SCORE, 0.5)
 
 
-def value_key(number: Column, text: Column) -> Column:
-    """``q:`` and the canonical number to 6 decimals, else ``c:`` and the text in one spelling; null when nothing is stated."""
-    return F.when(number.isNotNull(), F.concat(F.lit("q:"), F.format_string("%.6f", F.round(number, 6) + 0.0))).when(~is_not_stated(text), F.concat(F.lit("c:"), categorical(text)))
+def value_key(number: Column, text: Column, dimension: Column | None = None) -> Column:
+    """``q:``, the canonical number to 6 decimals and its dimension, else ``c:`` and the text in one spelling; null when nothing is stated.
+
+    ``dimension`` null is a bare number.
+    """
+    dim = F.coalesce(dimension, F.lit("dimensionless")) if dimension is not None else F.lit("dimensionless")
+    return F.when(number.isNotNull(), F.concat(F.lit("q:"), F.format_string("%.6f", F.round(number, 6) + 0.0), F.lit(":"), dim)).when(~is_not_stated(text), F.concat(F.lit("c:"), categorical(text)))
 
 
 def adjudicate(claims: DataFrame, group: list[str], key: str, item: str, source: str, authority: str, locator: str, tier: str) -> DataFrame:
@@ -58,5 +62,5 @@ def adjudicate(claims: DataFrame, group: list[str], key: str, item: str, source:
 def rejected(claims: DataFrame, decided: DataFrame, group: list[str], key: str) -> DataFrame:
     """Claims of adjudicated groups whose value did not win, with the reason."""
     d = decided.select(*group, "value_key", "conflict", "close_call")
-    reason = F.when(F.col("conflict"), F.lit("conflicting authoritative sources")).when(F.col("close_call"), F.lit("narrowly outranked")).otherwise(F.lit("lower evidence quality or source authority"))
+    reason = F.when(F.col("conflict"), F.lit("two sources of the first rank disagree")).when(F.col("close_call"), F.lit("close behind the winner")).otherwise(F.lit("weaker evidence"))
     return claims.join(d, group).where(F.col(key).isNotNull() & ~F.col(key).eqNullSafe(F.col("value_key"))).withColumn("reason", reason).drop("value_key", "conflict", "close_call")

@@ -12,20 +12,16 @@ def number_text(c: Column) -> Column:
 
 
 def catalogue_fraction(c: Column, denominator: int = 16, tolerance: float = 0.01) -> Column:
-    """A positive number as a mixed fraction with the least power-of-two denominator within the tolerance; else as a number."""
-    whole = F.floor(c)
-    out = number_text(c)
-    steps = []
-    d = denominator
-    while d >= 2:
-        steps.append(d)
-        d //= 2
-    for d in steps:
-        n = F.round((c - whole) * d)
-        near = (F.abs((c - whole) - n / d) <= tolerance * c) & (n > 0) & (n < d)
-        text = F.concat(F.when(whole > 0, F.concat(whole.cast("string"), F.lit("-"))).otherwise(F.lit("")), n.cast("int").cast("string"), F.lit(f"/{d}"))
-        out = F.when(near, text).otherwise(out)
-    return F.when(c.isNotNull(), F.when(F.abs(c - F.round(c)) <= 1e-9, number_text(F.round(c))).otherwise(out))
+    """A positive number as the nearest mixed fraction with a denominator of at most 16 (the smallest of equally near ones), within the tolerance; else as a number.
+
+    Zero and negative numbers stay numbers; null stays null.
+    """
+    tries = [F.struct(F.round(F.abs(c - F.round(c * d) / d), 12).alias("gap"), F.lit(d).alias("d"), F.round(c * d).cast("bigint").alias("n")) for d in range(1, denominator + 1)]
+    best = F.least(*tries)
+    whole, rest, d = F.floor(best["n"] / best["d"]).cast("bigint"), best["n"] % best["d"], best["d"]
+    part = F.concat(rest.cast("string"), F.lit("/"), d.cast("string"))
+    text = F.when(rest == 0, whole.cast("string")).when(whole == 0, part).otherwise(F.concat(whole.cast("string"), F.lit("-"), part))
+    return F.when(c.isNotNull(), F.when((c > 0) & (best["gap"] <= tolerance * c) & (best["n"] > 0), text).otherwise(number_text(c)))
 
 
 def display_words(c: Column) -> Column:

@@ -8,11 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def heuristic(table_cell: Column, datasheet: Column, agreed: Column, span: Column, in_range: Column, close_call: Column, inferred: Column) -> Column:
-    """A base of .55, bonuses and penalties for boolean evidence (null counts as false), kept within 0 and .999."""
-    bonus = lambda c, v: F.when(F.coalesce(c, F.lit(False)), F.lit(v)).otherwise(F.lit(0.0))
-    s = 0.55 + bonus(table_cell, 0.2) + bonus(datasheet, 0.1) + bonus(agreed, 0.1) + bonus(span, 0.1) + bonus(in_range, 0.1) - bonus(close_call, 0.25) - bonus(inferred, 0.15)
-    return F.round(F.least(F.greatest(s, F.lit(0.0)), F.lit(0.999)), 6)
+# The weights of the heuristic score.
+BASE, BONUS, PENALTY, CEILING = 0.55, {"table_cell": 0.20, "structured_field": 0.10, "tier_table": 0.10, "agreement": 0.10, "authority": 0.10}, {"no_span": 0.25, "inferred": 0.15}, 0.999
+
+
+def heuristic(locator: Column, tier: Column, agreement: Column, authority: Column, span_present: Column) -> Column:
+    """A base score with bonuses for where and how a value was found, for up to three agreeing claims and for 1 over the authority rank, and penalties.
+
+    A null span check counts as passed, a null agreement as none, a null authority as rank 9; the result lies within 0 and .999.
+    """
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    s = F.lit(BASE) + BONUS["table_cell"] * flag(locator == "table_cell") + BONUS["structured_field"] * flag(locator == "structured_field") + BONUS["tier_table"] * flag(tier == "table")
+    s = s + BONUS["agreement"] * F.least(F.coalesce(agreement, F.lit(0)), F.lit(3)) / 3 + BONUS["authority"] / F.greatest(F.coalesce(authority, F.lit(9)), F.lit(1))
+    s = s - PENALTY["no_span"] * flag(~span_present) - PENALTY["inferred"] * flag(locator == "inferred")
+    return F.round(F.least(F.greatest(s, F.lit(0.0)), F.lit(CEILING)), 6)
 
 
 def reliability(df: DataFrame, confidence: str, correct: str, bins: int = 10, by: list[str] | None = None) -> DataFrame:

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from partloom.functions.text import trimmed
 
 
-def lexicon_tokens(rows: DataFrame, row_id: str, text: str, lexicon: DataFrame) -> DataFrame:
+def lexicon_tokens(rows: DataFrame, row_id: str, text: str, lexicon: DataFrame, longest: int | None = None) -> DataFrame:
     """``row_id, token, canonical_key, value``: abbreviations of the lexicon that stand as whole tokens in a text.
 
     Texts are split once and the distinct tokens meet the lexicon by an equi-join (no row is compared with every entry);
-    entries of several words are looked up among runs of up to three tokens. Null texts give nothing.
+    entries of several words are looked up among runs of as many tokens as the longest entry has (``longest``, else counted). Null texts give nothing.
     """
     words = F.filter(F.split(F.upper(F.col(text)), r"[^A-Z0-9./#-]+"), lambda w: w != "")
     x = rows.select(F.col(row_id).alias("row_id"), words.alias("w")).where("w is not null and size(w) > 0")
@@ -22,7 +22,8 @@ def lexicon_tokens(rows: DataFrame, row_id: str, text: str, lexicon: DataFrame)
         pos = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(pos, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
 
-    runs = F.concat(run(1), run(2), run(3))
+    longest = longest or lexicon.agg(F.max(F.size(F.split(F.trim("token"), " +")))).first()[0] or 1  # metadata
+    runs = F.concat(*[run(n) for n in range(1, longest + 1)])
     tokens = x.select("row_id", F.explode(F.array_distinct(runs)).alias("token"))
     return tokens.join(lexicon.select(F.upper("token").alias("token"), "canonical_key", "value"), "token").select("row_id", "token", "canonical_key", "value").distinct()
 
@@ -71,29 +72,76 @@ def token_sort_ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(x) + len(y))
 
 
-def match_headers(headers: DataFrame, header: str, aliases: DataFrame, floor: float = 90.0) -> DataFrame:
+def _bigrams(c: Column) -> Column:
+    """Distinct pairs of neighbouring characters of the sorted words, with an end mark on either side."""
+    t = F.concat(F.lit("^"), F.array_join(F.array_sort(F.split(c, " ")), " "), F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, 2)))
+
+
+def match_headers(headers: DataFrame, header: str, aliases: DataFrame, floor: float = 90.0, scope: tuple[str, ...] = ()) -> DataFrame:
     """``header, canonical_key, score``: each distinct header's key, by an equal alias, else the most similar one of at least ``floor``.
 
-    ``aliases`` (alias, canonical_key) is schema metadata and is handed to the workers whole. Ties: the first key by name.
+    ``aliases`` has (alias, canonical_key). Columns in ``scope`` stand in both tables and in the result, and have to be equal. Equal forms meet by an equi-join; for the others pairs that share enough pairs of
+    letters are compared: e inserted or deleted letters change at most 2 e of them, and the floor bounds e by the two lengths, so
+    no pair that reaches the floor is left out. Ties: the first key by name. Headers without a match have null key and score;
+    null headers give no row. Only distinct headers are compared.
     """
-    table = sorted((r["a"], r["canonical_key"]) for r in aliases.select(header_form(F.col("alias")).alias("a"), "canonical_key").distinct().collect())  # metadata
-
-    @F.pandas_udf("struct<canonical_key:string,score:double>")
-    def nearest(forms: pd.Series) -> pd.DataFrame:
-        def one(h: str | None) -> tuple[str | None, float]:
-            best, key = 0.0, None
-            for a, k in table:
-                s = 100.0 if a == h else token_sort_ratio(a, h or "")
-                if s > best:
-                    best, key = s, k
-            return (key, round(best, 4)) if best >= floor else (None, round(best, 4))
-
-        return pd.DataFrame([one(h) for h in forms], columns=["canonical_key", "score"])
-
-    # else a filter on the result would be pushed below the distinct, and every cell's header compared
-    nearest = nearest.asNondeterministic()
-    distinct = headers.select(F.col(header).alias("header")).where("header is not null").distinct()
-    return distinct.withColumn("m", nearest(header_form(F.col("header")))).select("header", "m.canonical_key", "m.score")
+    by = [*scope]
+    known = aliases.select(*by, header_form(F.col("alias")).alias("a"), "canonical_key").where("a <> ''").distinct()
+    distinct = headers.select(*by, F.col(header).alias("header")).where("header is not null").distinct()
+    formed = distinct.withColumn("form", header_form(F.col("header")))
+    exact = formed.join(known.withColumnRenamed("a", "form"), [*by, "form"]).groupBy(*by, "header").agg(F.min("canonical_key").alias("canonical_key")).withColumn("score", F.lit(100.0))
+    rest = formed.join(exact, [*by, "header"], "left_anti").where("form <> ''").select(*by, "form").distinct()
+
+    def grams(df: DataFrame, c: str) -> DataFrame:
+        return df.select(*by, c, _bigrams(F.col(c)).alias("g")).select(*by, c, F.size("g").alias(f"{c}_n"), F.explode("g").alias("gram"))
+
+    shared = grams(rest, "form").join(grams(known.select(*by, "a").distinct(), "a"), [*by, "gram"]).groupBy(*by, "form", "a").agg(F.count(F.lit(1)).alias("same"), F.first("form_n").alias("fn"), F.first("a_n").alias("an"))
+    edits = F.floor((F.length("form") + F.length("a")) * (100.0 - floor) / 100)
+    near = shared.where(F.col("same") >= F.greatest("fn", "an") - 2 * edits)
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([round(token_sort_ratio(i, j), 4) for i, j in zip(x, y)])
+
+    scored = near.select(*by, "form", "a", ratio("form", "a").alias("score")).where(F.col("score") >= floor).join(known, [*by, "a"])
+    best = scored.groupBy(*by, "form").agg(F.min(F.struct((-F.col("score")).alias("o"), "canonical_key")).alias("b")).select(*by, "form", "b.canonical_key", (-F.col("b.o")).alias("score"))
+    fuzzy = formed.join(exact, [*by, "header"], "left_anti").join(best, [*by, "form"], "left").select(*by, "header", "canonical_key", "score")
+    return exact.unionByName(fuzzy)
+
+
+# Headers of the cells that name the part, the parameter, its value and the condition under which it holds.
+PART_HEADERS = ["part number", "part no", "partnumber", "mpn", "manufacturer part number", "ordering code", "order code", "catalog number", "model"]
+PARAM_HEADERS = ["parameter", "attribute", "specification", "spec", "property", "characteristic", "item"]
+VALUE_HEADERS = ["value", "rating", "spec value", "typ", "nominal", "min max"]
+CONDITION_HEADERS = ["conditions", "condition", "notes", "remarks"]
+
+
+def _named(cells: Column, headers: list[str]) -> Column:
+    """The values of the cells with one of the headers."""
+    return F.transform(F.filter(cells, lambda c: header_form(c["header"]).isin(*headers)), lambda c: c["value"])
+
+
+def part_names(cells: Column) -> Column:
+    """The part numbers a row gives itself, apart by a sign that no identifier goes across; null for a row that holds for a whole family."""
+    own = _named(cells, PART_HEADERS)
+    return F.when(F.size(own) > 0, F.array_join(own, " ; "))
+
+
+def stated_pairs(cells: Column) -> Column:
+    """What a row states, as array of (header, value): one pair if it has a parameter and a value cell, else its cells."""
+    param, value = F.get(_named(cells, PARAM_HEADERS), F.lit(0)), F.get(_named(cells, VALUE_HEADERS), F.lit(0))
+    plain = F.transform(cells, lambda c: F.struct(c["header"].alias("header"), c["value"].alias("value")))
+    return F.when(param.isNotNull() & value.isNotNull(), F.array(F.struct(param.alias("header"), value.alias("value")))).otherwise(plain)
+
+
+def condition_of(cells: Column) -> Column:
+    return F.get(F.filter(F.transform(_named(cells, CONDITION_HEADERS), trimmed), lambda v: v != ""), F.lit(0))
+
+
+def alternatives(value: Column) -> Column:
+    """The values of a cell, set apart by a slash between blanks (a slash without blanks is part of a number)."""
+    return F.filter(F.split(trimmed(value), r"\s+/\s+"), lambda v: v != "")
 
 
 def _side(boxes: Column, i: int) -> Column:

@@ -51,6 +51,7 @@ def revisions(rows: DataFrame, source: Column, at: Column, content: Column) -> D
     return x.select("source", "at", F.row_number().over(w).alias("revision"))
 
 
-def combined_hash(links: DataFrame, parent: str, content: str) -> DataFrame:
-    """``parent, combined``: SHA-256 of the sorted distinct content hashes of a parent's sources."""
-    return links.where(F.col(content).isNotNull()).groupBy(parent).agg(F.sha2(F.array_join(F.sort_array(F.collect_set(content)), "|"), 256).alias("combined"))
+def combined_hash(links: DataFrame, parent: str, source: str, content: str) -> DataFrame:
+    """``parent, combined``: SHA-256 of the sorted distinct ``source:content`` pairs of a parent's sources; a null content is an empty one."""
+    pair = F.concat_ws(":", F.col(source), F.coalesce(F.col(content), F.lit("")))
+    return links.groupBy(parent).agg(F.sha2(F.array_join(F.sort_array(F.collect_set(pair)), "|"), 256).alias("combined"))

@@ -30,6 +30,11 @@ def _number_text(c: Column) -> Column:
     return F.when(_plain(c) & (c != ""), c).otherwise(F.when(x != "", x))
 
 
+def first_number(c: Column) -> Column:
+    """The first number of a text, remarks in square brackets left out; null where there is none."""
+    return parse_number(_number_text(c))
+
+
 def _unit_text(c: Column) -> Column:
     inside = unit_alias(F.regexp_extract(c, _BRACKET, 1))
     behind = unit_alias(F.regexp_extract(c, _NUMBER_UNIT, 2))

@@ -7,7 +7,8 @@ import ast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partloom.functions.text import compact_code
+from partloom.functions.text import compact_code, is_not_stated
+from partloom.operators.wide import FALSE_WORDS, TRUE_WORDS
 
 MIN_SIBLINGS, MAX_DEVIATION, TYPICAL_SHARE = 5, 5.0, 0.9
 
@@ -25,7 +26,7 @@ def value_checks(kind: Column, number: Column, text: Column, allowed: Column, lo
     lo, hi = F.least(low, high), F.greatest(low, high)
     code = compact_code(text)
     return {
-        "type_ok": F.when(kind == "quantity", number.isNotNull()).when(kind == "enum", code != "").otherwise(F.lit(None).cast("boolean")),
+        "type_ok": F.when(kind == "quantity", number.isNotNull()).when(kind == "enum", code != "").when(kind == "bool", F.lower(F.trim(text)).isin(*TRUE_WORDS, *FALSE_WORDS)).when(kind == "text", ~is_not_stated(text)),
         "unit_ok": F.when(kind == "quantity", unit_ok),
         "enum_ok": F.when(kind == "enum", F.exists(allowed, lambda a: compact_code(a) == code)),
         "range_ok": F.when((kind == "quantity") & number.isNotNull(), number.between(lo, hi)),
@@ -112,33 +113,20 @@ def _median_of_others(df: DataFrame, by: list[str], x: str, name: str) -> DataFr
     return ranked.join(places, by).withColumn(name, (place(low) + place(high)) / 2).drop("_r", "_p")
 
 
-def family_outliers(values: DataFrame, family: str, key: str, member: str, value: str, gather: int = 4096) -> DataFrame:
+def family_outliers(values: DataFrame, family: str, key: str, member: str, value: str) -> DataFrame:
     """``family, key, member, median, mad, deviation, coherent``: each value against the others of its family.
 
     Median and median absolute deviation leave the member itself out; fewer than five other values give no row. Without
-    spread, any other value is incoherent. Families of up to ``gather`` values are sorted once into an array; larger ones are
-    ranked by value and then by the deviation from each of their at most three medians, with the same results.
+    spread, any other value is incoherent. Families of every size are ranked by value, and then by the deviation from each of
+    their at most three medians; nothing of a family is gathered. Null values take no part; repeated rows count as often as
+    they stand.
     """
     rows = values.where(F.col(value).isNotNull()).select(family, key, F.col(member).alias("member"), F.col(value).cast("double").alias("v"))
-    sizes = rows.groupBy(family, key).count().where(F.col("count") > MIN_SIBLINGS)
-    small = rows.join(sizes.where(F.col("count") <= gather).drop("count"), [family, key], "left_semi")
-    packed = small.groupBy(family, key).agg(F.array_sort(F.collect_list(F.struct("v", "member"))).alias("a"))
-    each = packed.withColumn("i", F.sequence(F.lit(1), F.size("a"))).select(family, key, "a", F.explode("i").alias("i"))
-
-    def middle(arr: Column) -> Column:
-        n = F.size(arr)
-        return (F.element_at(arr, F.floor((n + 1) / 2).cast("int")) + F.element_at(arr, F.floor((n + 2) / 2).cast("int"))) / 2
-
-    others = F.transform(F.filter("a", lambda x, i: i + 1 != F.col("i")), lambda x: x["v"])
-    each = each.withColumn("o", others).withColumn("median", middle(F.col("o")))
-    each = each.withColumn("mad", middle(F.array_sort(F.transform("o", lambda v: F.abs(v - F.col("median"))))))
-    each = each.select(family, key, F.element_at("a", F.col("i")).alias("own"), "median", "mad").select(family, key, F.col("own.member").alias("member"), F.col("own.v").alias("v"), "median", "mad")
-    large = rows.join(sizes.where(F.col("count") > gather).withColumnRenamed("count", "n"), [family, key])
-    large = _median_of_others(large, [family, key], "v", "median")
-    centres = large.select(family, key, F.col("median").alias("centre")).distinct()
-    dev = large.join(centres, [family, key]).withColumn("d", F.abs(F.col("v") - F.col("centre")))
-    dev = _median_of_others(dev, [family, key, "centre"], "d", "mad").where(F.col("median") == F.col("centre"))
-    each = each.unionByName(dev.select(family, key, "member", "v", "median", "mad"))
+    sizes = rows.groupBy(family, key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MIN_SIBLINGS)
+    rows = _median_of_others(rows.join(sizes, [family, key]), [family, key], "v", "median")
+    centres = rows.select(family, key, F.col("median").alias("centre")).distinct()
+    each = rows.join(centres, [family, key]).withColumn("d", F.abs(F.col("v") - F.col("centre")))
+    each = _median_of_others(each, [family, key, "centre"], "d", "mad").where(F.col("median") == F.col("centre"))
     deviation = F.when(F.col("mad") > 0, F.round(F.abs(F.col("v") - F.col("median")) / F.col("mad"), 6))
     coherent = F.when(F.col("mad") > 0, deviation <= MAX_DEVIATION).otherwise(F.col("v") == F.col("median"))
     return each.select(family, key, "member", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), deviation.alias("deviation"), coherent.alias("coherent"))

@@ -14,10 +14,12 @@ from partloom.operators import retrieval as R
 from partloom.operators import store as S
 from partloom.operators import validate as V
 from partloom.operators.units import to_canonical_units
+from partloom.operators import verify as VF
 from partloom.operators.verify import naming_chunks
 from partloom.plans.prep_queries import p1_wide
-from partloom.plans.prep_sql import WIDE_NUMBERS, canonical
-from partloom.sources.tables import table
+from partloom.operators.wide import FALSE_WORDS, TRUE_WORDS
+from partloom.plans.prep_sql import WIDE_NUMBERS, _quoted, canonical
+from partloom.sources.tables import spread, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -56,7 +58,7 @@ def mpn_variants(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "products").select("id", X.mpn_variants(F.col("mpn")).alias("variants"))
 
 
-@query(f"SELECT canonical_key, {_CAT.format('value_text')} AS value, count(*) AS n FROM provenance WHERE value_text IS NOT NULL AND NOT regexp_matches(value_text, '[^ -~]') GROUP BY ALL")
+@query(f"SELECT canonical_key, {_CAT.format('value_text')} AS value, count(*) AS n FROM provenance WHERE value_text IS NOT NULL GROUP BY ALL")
 def categorical_values(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "provenance").where("value_text is not null")
     return x.groupBy("canonical_key", X.categorical(F.col("value_text")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
@@ -79,7 +81,7 @@ def split_hash(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("split", F.when(b < 40, "dev").when(b < 70, "calibration").when(b.isNotNull(), "test"))
 
 
-@query("SELECT doc_id, sha256(text) AS content_hash, md5(lower(trim(text))) AS loose_hash FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^ -~\\n]')")
+@query("SELECT doc_id, sha256(text) AS content_hash, md5(lower(trim(text))) AS loose_hash FROM documents WHERE text IS NOT NULL")
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").where("text is not null")
     return x.select("doc_id", F.sha2("text", 256).alias("content_hash"), F.md5(F.lower(F.btrim("text", F.lit(X.SPACES)))).alias("loose_hash"))
@@ -111,7 +113,7 @@ SELECT p.chunk_id FROM chunks p WHERE p.locator = 'prose' AND p.bbox IS NOT NULL
     AND p.bbox[1] >= t.bbox[1] - 1 AND p.bbox[2] >= t.bbox[2] - 1 AND p.bbox[3] <= t.bbox[3] + 1 AND p.bbox[4] <= t.bbox[4] + 1)
 """)
 def prose_outside_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Spatial anti-join on the page; the tables of a page are one array, so a page is compared within a row."""
+    """Spatial anti-join on the page."""
     c = table(spark, d, "chunks").where("bbox is not null")
     # prose in no table: equal pages meet, the four comparisons are part of the anti-join
     p, t = c.where("locator = 'prose'").alias("p"), c.where("locator = 'table_cell'").alias("t")
@@ -203,10 +205,14 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
     return p.join(links, "_p").where("_s is not null")
 
 
+def _bounds(spark: SparkSession, d: str) -> tuple[int, int]:
+    return VF.code_bounds(table(spark, d, "products").select(X.mpn_normalise(F.col("mpn")).alias("_code")), "_code")
+
+
 def _naming(spark: SparkSession, d: str) -> DataFrame:
     """The chunks of linked sources that name the product's part: ``_p, _s, chunk_id, chunk_ord, locator``."""
-    c = table(spark, d, "chunks")
-    return naming_chunks(c, X.reference_key(F.col("source_id")), "text", ["chunk_id", "chunk_ord", "locator"], _parts(spark, d), "_s", "_code").drop("_code")
+    c = spread(table(spark, d, "chunks").select("chunk_id", "source_id", "chunk_ord", "locator", "text"))
+    return naming_chunks(c, X.reference_key(F.col("source_id")), "text", ["chunk_id", "chunk_ord", "locator"], _parts(spark, d), "_s", "_code", _bounds(spark, d)).drop("_code")
 
 
 _CHARS = "array_to_string(string_split(" + _NORM.format("p.mpn") + ", ''), '[\\s\\-_./,]*')"
@@ -247,19 +253,62 @@ def _authority(spark: SparkSession, d: str) -> DataFrame:
     return x.select("_s", (-F.col("m.r")).alias("authority"))
 
 
-@query(f"""
+# The weights of a link's signals, the signal of each authority rank and the least score of a verified link.
+LINK_WEIGHTS = {"slot": 0.45, "manufacturer": 0.20, "overlap": 0.20, "authority": 0.15}
+AUTHORITY_SIGNAL, OTHER_SIGNAL, LINK_THRESHOLD = {1: 1.0, 2: 0.9, 3: 0.8, 4: 0.75, 5: 0.6}, 0.5, 0.70
+
+_MAKER = "trim(regexp_replace(regexp_replace(upper({0}), '[^A-Z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+_VERIFIED = f"""
 WITH t AS ({_LINKED}), a AS ({_RANKED_SOURCES}),
-g AS (SELECT t.product_id, t.source_id, max((present AND locator IN ('table_cell', 'structured_field'))::INT) AS slot, any_value(coalesce(authority, 9)) AS authority FROM t LEFT JOIN a ON a.sid = t.source_id GROUP BY ALL HAVING bool_or(present))
-SELECT product_id, source_id, slot, round(CASE authority WHEN 1 THEN 1.0 WHEN 2 THEN .9 WHEN 3 THEN .8 WHEN 4 THEN .75 WHEN 5 THEN .6 ELSE .5 END, 4) AS authority_signal,
-  round((0.45 * slot + 0.15 * CASE authority WHEN 1 THEN 1.0 WHEN 2 THEN .9 WHEN 3 THEN .8 WHEN 4 THEN .75 WHEN 5 THEN .6 ELSE .5 END) / 0.6, 4) AS score FROM g
-""")
+g AS (SELECT t.product_id, t.source_id, max((present AND locator IN ('table_cell', 'structured_field'))::INT) AS slot, any_value(coalesce(authority, 9)) AS rank FROM t LEFT JOIN a ON a.sid = t.source_id GROUP BY ALL HAVING bool_or(present)),
+h AS (SELECT {_REF.format('source_id')} AS sid, list(' ' || {_MAKER.format('text')} || ' ') AS hays, list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z0-9]+')))) AS words FROM chunks GROUP BY 1),
+m AS (SELECT manufacturer_id, {_MAKER.format('n')} AS name FROM (SELECT manufacturer_id, unnest(list_append(aliases, canonical_name)) AS n FROM manufacturers)),
+p AS (SELECT {_REF.format('id')} AS pid, {_NORM.format('mpn')} AS part, nullif({_MAKER.format('manufacturer')}, '') AS maker FROM products),
+k AS (SELECT {_NORM.format('mpn')} AS part, arg_max(description_fragment, (received_at, sku_id)) AS fragment FROM sku_inputs WHERE trim(description_fragment) <> '' AND received_at IS NOT NULL GROUP BY 1),
+w AS (SELECT part, list_distinct([x FOR x IN regexp_extract_all(lower(fragment), '[a-z0-9]+') IF length(x) > 1]) AS words FROM k),
+n AS (SELECT pid, list(DISTINCT name) AS names FROM (SELECT pid, maker AS name FROM p WHERE maker IS NOT NULL UNION ALL SELECT pid, b.name FROM p JOIN m a ON a.name = maker JOIN m b USING (manufacturer_id)) WHERE name <> '' GROUP BY 1),
+s AS (SELECT g.product_id, g.source_id, slot, n.pid IS NOT NULL AS named, coalesce(len([1 FOR x IN n.names IF len([1 FOR y IN h.hays IF contains(y, ' ' || x || ' ')]) > 0]) > 0, false)::INT AS manufacturer,
+  coalesce(len(list_intersect(w.words, h.words)) / nullif(len(w.words), 0), 0) AS overlap, CASE rank WHEN 1 THEN 1.0 WHEN 2 THEN .9 WHEN 3 THEN .8 WHEN 4 THEN .75 WHEN 5 THEN .6 ELSE .5 END::DOUBLE AS authority
+  FROM g JOIN p ON p.pid = g.product_id JOIN h ON h.sid = g.source_id LEFT JOIN n ON n.pid = p.pid LEFT JOIN w ON w.part = p.part),
+r AS (SELECT *, round(CASE WHEN named THEN .45 * slot + .2 * manufacturer + .2 * overlap + .15 * authority ELSE (.45 * slot + .2 * overlap + .15 * authority) / .8 END, 4) AS score FROM s)
+SELECT product_id, source_id, slot, manufacturer, round(overlap, 4) AS overlap, round(authority, 4) AS authority_signal, score, score >= 0.7 AS matched FROM r
+"""
+
+
+@query(_VERIFIED)
 def verify_links(spark: SparkSession, d: str) -> DataFrame:
-    """Verified product and source pairs, scored by slot and authority with weights renormalised over these signals."""
-    x = _naming(spark, d).groupBy(F.col("_p").alias("product_id"), F.col("_s").alias("source_id")).agg(F.max(F.col("locator").isin("table_cell", "structured_field").cast("int")).alias("slot"))
-    x = x.join(_authority(spark, d).withColumnRenamed("_s", "source_id"), "source_id", "left")
-    a = F.coalesce("authority", F.lit(9))
-    signal = F.when(a == 1, 1.0).when(a == 2, 0.9).when(a == 3, 0.8).when(a == 4, 0.75).when(a == 5, 0.6).otherwise(0.5)
-    return x.select("product_id", "source_id", "slot", F.round(signal, 4).alias("authority_signal"), F.round((0.45 * F.col("slot") + 0.15 * signal) / 0.6, 4).alias("score"))
+    """Product and source pairs that pass the gate, with four signals, their score and whether it reaches the threshold.
+
+    The manufacturer (as typed, or any name of the entry it equals) counts where its words stand together in a chunk of the
+    source; the overlap is the share of the words of the part's newest description that the source has. Without a
+    manufacturer its weight is shared out. All signals come from equi-joins on source and word, so a hot source costs its words.
+    """
+    return _verified(spark, d, _naming(spark, d))
+
+
+def _verified(spark: SparkSession, d: str, naming: DataFrame) -> DataFrame:
+    named = naming.groupBy("_p", "_s").agg(F.max(F.col("locator").isin("table_cell", "structured_field").cast("int")).alias("slot"))
+    chunks = spread(table(spark, d, "chunks").select(X.reference_key(F.col("source_id")).alias("_s"), "text"))
+    products = table(spark, d, "products").select(X.reference_key(F.col("id")).alias("_p"), X.mpn_normalise(F.col("mpn")).alias("part"), "manufacturer")
+    names = VF.maker_names(products, "_p", "manufacturer", table(spark, d, "manufacturers"), "manufacturer_id", "canonical_name", "aliases")
+    makers = VF.makers_in_sources(chunks, "_s", "text", names.select("name"))
+    maker = named.join(names, "_p").join(makers, ["_s", "name"], "left").groupBy("_p", "_s").agg(F.max(F.col("found").isNotNull().cast("int")).alias("manufacturer"))
+    newest = table(spark, d, "sku_inputs").where(X.non_blank(F.col("description_fragment")).isNotNull() & F.col("received_at").isNotNull())
+    newest = newest.groupBy(X.mpn_normalise(F.col("mpn")).alias("part")).agg(F.max(F.struct("received_at", "sku_id", "description_fragment")).alias("m"))
+    asked = products.join(newest.select("part", X.word_set(F.col("m.description_fragment")).alias("words")), "part").where(F.size("words") > 0).select("_p", "words")
+    words = chunks.select("_s", F.explode(X.word_set(F.col("text"), 1)).alias("word")).distinct()
+    shared = named.join(asked, "_p").select("_p", "_s", F.size("words").alias("n"), F.explode("words").alias("word")).join(words.withColumn("hit", F.lit(1)), ["_s", "word"], "left")
+    shared = shared.groupBy("_p", "_s").agg((F.count("hit") / F.first("n")).alias("overlap"))
+    x = named.join(maker, ["_p", "_s"], "left").join(shared, ["_p", "_s"], "left").join(_authority(spark, d), "_s", "left")
+    signal = F.lit(OTHER_SIGNAL)
+    for rank, v in AUTHORITY_SIGNAL.items():
+        signal = F.when(F.col("authority") == rank, F.lit(v)).otherwise(signal)
+    w, overlap = LINK_WEIGHTS, F.coalesce("overlap", F.lit(0.0))
+    rest = w["slot"] * F.col("slot") + w["overlap"] * overlap + w["authority"] * signal
+    score = F.round(F.when(F.col("manufacturer").isNotNull(), rest + w["manufacturer"] * F.col("manufacturer")).otherwise(rest / (1 - w["manufacturer"])), 4)
+    return x.select(F.col("_p").alias("product_id"), F.col("_s").alias("source_id"), "slot", F.coalesce("manufacturer", F.lit(0)).alias("manufacturer"), F.round(overlap, 4).alias("overlap"), F.round(signal, 4).alias("authority_signal"), score.alias("score"), (score >= LINK_THRESHOLD).alias("matched"))
 
 
 # ---- candidates from text ---------------------------------------------------------------------------------------
@@ -291,7 +340,7 @@ def _lexicon(spark: SparkSession) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return E.lexicon_tokens(table(spark, d, "sku_inputs"), "sku_id", "description_fragment", _lexicon(spark))
+    return E.lexicon_tokens(table(spark, d, "sku_inputs"), "sku_id", "description_fragment", _lexicon(spark), max(len(t.split()) for t, *_ in LEXICON))
 
 
 @query(_TOKENS + "SELECT * FROM k")
@@ -346,7 +395,9 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
     specs = table(spark, d, "attribute_specs")
     c = table(spark, d, "candidates").select("candidate_id", X.reference_key(F.col("product_id")).alias("product_id"), "canonical_key", "value", "unit", "raw_text", "tier", "locator", X.reference_key(F.col("source_id")).alias("_s"), "agreement_count", "consistency_ratio", "chunk_id", "span").distinct()
     c = to_canonical_units(c, specs, "canonical_key", "value").join(_authority(spark, d), "_s", "left")
-    return c.withColumn("authority", F.coalesce("authority", F.lit(9))).withColumn("value_key", A.value_key(F.col("canonical_value"), F.col("value")))
+    dims = specs.groupBy("canonical_key").agg(F.min("dimension").alias("dimension"))
+    c = c.join(F.broadcast(dims), "canonical_key", "left")  # a key has one dimension
+    return c.withColumn("authority", F.coalesce("authority", F.lit(9))).withColumn("value_key", A.value_key(F.col("canonical_value"), F.col("value"), F.col("dimension"))).drop("dimension")
 
 
 _ADJUDICATED = f"""
@@ -367,7 +418,7 @@ c AS (SELECT x.*, 'c:' || {_CAT.format('value')} AS vkey, coalesce(authority, 9)
 _ALL_CLAIMS = f"""
 WITH {canonical(f"{_CLAIM}, canonical_key AS k, unit, raw_text, agreement_count, consistency_ratio, chunk_id, span FROM candidates")},
 a AS ({_RANKED_SOURCES}),
-c1 AS (SELECT cv.*, coalesce(authority, 9) AS authority, CASE WHEN canonical_value IS NOT NULL THEN 'q:' || printf('%.6f', round(canonical_value, 6) + 0.0)
+c1 AS (SELECT cv.*, coalesce(authority, 9) AS authority, CASE WHEN canonical_value IS NOT NULL THEN 'q:' || printf('%.6f', round(canonical_value, 6) + 0.0) || ':' || coalesce((SELECT min(dimension) FROM attribute_specs s WHERE s.canonical_key = cv.canonical_key), 'dimensionless')
   WHEN value IS NOT NULL AND lower(trim(value)) NOT IN {_FILLER} THEN 'c:' || {_CAT.format('value')} END AS vkey FROM cv LEFT JOIN a USING (sid)),
 c AS (SELECT * FROM c1 WHERE vkey IS NOT NULL),
 {_ADJUDICATED}"""
@@ -390,17 +441,17 @@ def adjudicate_enums(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("top_score", F.round("top_score", 4))
 
 
-@query(_TEXT_CLAIMS + "SELECT CASE WHEN n_values = 1 THEN 'single' WHEN conflict THEN 'conflict' WHEN coalesce(round(score - nxt, 6) < 0.15, false) THEN 'close' ELSE 'clear' END AS outcome, canonical_key, count(*) AS n FROM t GROUP BY ALL")
+@query(_ALL_CLAIMS + "SELECT CASE WHEN n_values = 1 THEN 'single' WHEN conflict THEN 'conflict' WHEN coalesce(round(score - nxt, 6) < 0.15, false) THEN 'close' ELSE 'clear' END AS outcome, canonical_key, count(*) AS n FROM t GROUP BY ALL")
 def adjudication_outcomes(spark: SparkSession, d: str) -> DataFrame:
     o = F.when(F.col("n_values") == 1, "single").when(F.col("conflict"), "conflict").when(F.col("close_call"), "close").otherwise("clear")
-    return adjudicate_enums(spark, d).groupBy(o.alias("outcome"), "canonical_key").agg(F.count(F.lit(1)).alias("n"))
+    return adjudicate_claims(spark, d).groupBy(o.alias("outcome"), "canonical_key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""
 WITH {canonical(f"{_CLAIM}, canonical_key AS k, unit, raw_text, agreement_count, consistency_ratio, chunk_id, span FROM candidates")},
 x AS (SELECT p.category_code, s.*, cv.value, cv.canonical_value AS q, regexp_replace(lower(cv.value), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS code FROM cv JOIN products p ON {_REF.format('p.id')} = cv.product_id
   JOIN attribute_specs s ON s.category_code = p.category_code AND s.canonical_key = cv.canonical_key)
-SELECT category_code, canonical_key, count(*) AS n, sum(CASE value_type WHEN 'quantity' THEN (q IS NOT NULL)::INT WHEN 'enum' THEN (code <> '')::INT END)::BIGINT AS type_ok,
+SELECT category_code, canonical_key, count(*) AS n, sum(CASE value_type WHEN 'quantity' THEN (q IS NOT NULL)::INT WHEN 'enum' THEN (code <> '')::INT WHEN 'bool' THEN (lower(trim(value)) IN {_quoted(TRUE_WORDS + FALSE_WORDS)})::INT ELSE (lower(trim(coalesce(value, ''))) NOT IN {_FILLER})::INT END)::BIGINT AS type_ok,
   sum(CASE WHEN value_type = 'quantity' THEN (q IS NOT NULL)::INT END)::BIGINT AS unit_ok,
   sum(CASE WHEN value_type = 'enum' THEN list_contains([regexp_replace(lower(a), '[^\\p{{L}}\\p{{N}}]+', '', 'g') FOR a IN allowed_values], code)::INT END)::BIGINT AS enum_ok,
   sum(CASE WHEN value_type = 'quantity' AND q IS NOT NULL THEN (q BETWEEN least(plausible_min, plausible_max) AND greatest(plausible_min, plausible_max))::INT END)::BIGINT AS range_ok
@@ -443,10 +494,10 @@ def relational_rules(spark: SparkSession, d: str) -> DataFrame:
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
     part = X.mpn_normalise(F.col("mpn_normalised"))
-    return table(spark, d, "eval_labels").select(part.alias("part"), X.family_prefix(part).alias("family"), "canonical_key", "value_text", F.lower(F.trim("split")).alias("split"), "audited", "label_source").distinct()
+    return table(spark, d, "eval_labels").select(part.alias("part"), F.concat(F.coalesce("manufacturer_resolved", F.lit("?")), F.lit("|"), X.family_prefix(part)).alias("family"), "canonical_key", "value_text", F.lower(F.trim("split")).alias("split"), "audited", "label_source").distinct()
 
 
-_LABELS = f"(SELECT DISTINCT {_NORM.format('mpn_normalised')} AS part, substr({_NORM.format('mpn_normalised')}, 1, 8) AS family, canonical_key, value_text, lower(trim(split)) AS split, audited, label_source FROM eval_labels)"
+_LABELS = f"(SELECT DISTINCT {_NORM.format('mpn_normalised')} AS part, coalesce(manufacturer_resolved, '?') || '|' || substr({_NORM.format('mpn_normalised')}, 1, 8) AS family, canonical_key, value_text, lower(trim(split)) AS split, audited, label_source FROM eval_labels)"
 
 
 @query(f"""
@@ -461,17 +512,23 @@ def family_outliers(spark: SparkSession, d: str) -> DataFrame:
     return V.family_outliers(v, "family", "canonical_key", "member", "v")
 
 
-_ENUM_LABELS = f"(SELECT family, canonical_key, part, max(value_text) AS value FROM {_LABELS} WHERE try_cast(value_text AS DOUBLE) IS NULL AND value_text IS NOT NULL GROUP BY ALL)"
+_ENUM_VALUES = f"""(SELECT coalesce(p.manufacturer_resolved, '?') || '|' || substr({_NORM.format('p.mpn')}, 1, 8) AS family, v.canonical_key, p.id, max({_CAT.format('v.value_text')}) AS value
+FROM provenance v JOIN products p ON {_REF.format('p.id')} = {_REF.format('v.product_id')} WHERE v.resolution = 'published' AND v.canonical_key IN (SELECT canonical_key FROM attribute_specs WHERE value_type = 'enum')
+  AND lower(trim(v.value_text)) NOT IN {_FILLER} GROUP BY ALL)"""
 
 
 @query(f"""
-WITH v AS {_ENUM_LABELS}, n AS (SELECT family, canonical_key, count(*) AS n FROM v GROUP BY ALL HAVING count(*) > 5)
-SELECT family, canonical_key, min(part) AS member, value, n - 1 AS n_peers FROM v JOIN n USING (family, canonical_key) GROUP BY family, canonical_key, value, n HAVING count(*) = 1
+WITH v AS {_ENUM_VALUES}, n AS (SELECT family, canonical_key, count(*) AS n FROM v GROUP BY ALL HAVING count(*) > 5)
+SELECT family, canonical_key, min(id) AS member, value, n - 1 AS n_peers FROM v JOIN n USING (family, canonical_key) GROUP BY family, canonical_key, value, n HAVING count(*) = 1
 """)
 def family_strangers(spark: SparkSession, d: str) -> DataFrame:
-    v = _labels(spark, d).where(F.col("value_text").try_cast("double").isNull() & F.col("value_text").isNotNull())
-    v = v.groupBy("family", "canonical_key", "part").agg(F.max("value_text").alias("value"))
-    return V.family_strangers(v, "family", "canonical_key", "part", "value")
+    """Published values of enumerated keys that no other member of the family (maker and prefix) has."""
+    enums = table(spark, d, "attribute_specs").where("value_type = 'enum'").select("canonical_key").distinct()
+    v = table(spark, d, "provenance").where("resolution = 'published'").where(~X.is_not_stated(F.col("value_text"))).join(F.broadcast(enums), "canonical_key", "left_semi")
+    v = v.select(X.reference_key(F.col("product_id")).alias("_p"), "canonical_key", X.categorical(F.col("value_text")).alias("value"))
+    p = table(spark, d, "products").select("id", X.reference_key(F.col("id")).alias("_p"), F.concat(F.coalesce("manufacturer_resolved", F.lit("?")), F.lit("|"), X.family_prefix(F.col("mpn"))).alias("family"))
+    v = v.join(p, "_p").groupBy("family", "canonical_key", "id").agg(F.max("value").alias("value"))
+    return V.family_strangers(v, "family", "canonical_key", "id", "value")
 
 
 @query(f"""
@@ -565,10 +622,10 @@ GROUP BY GROUPING SETS ((), (category_code), (category_code, source_status), (ca
 """)
 def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "products").select("id", "category_code", "source_status", X.mpn_normalise(F.col("mpn")).alias("part"))
-    p.join(_labels(spark, d).select("part", "split"), "part").select("id", "category_code", "source_status", "split").distinct().createOrReplaceTempView("_partloom_summary")
-    return spark.sql("""
-SELECT category_code, source_status, split, count(*) AS n, CAST(grouping(source_status) AS BIGINT) AS no_status, CAST(grouping(split) AS BIGINT) AS no_split FROM _partloom_summary
-GROUP BY GROUPING SETS ((), (category_code), (category_code, source_status), (category_code, split))""")
+    x = p.join(_labels(spark, d).select("part", "split"), "part").select("id", "category_code", "source_status", "split").distinct()
+    sets = [[], ["category_code"], ["category_code", "source_status"], ["category_code", "split"]]
+    out = x.groupingSets([[F.col(c) for c in s] for s in sets], "category_code", "source_status", "split")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.grouping("source_status").cast("bigint").alias("no_status"), F.grouping("split").cast("bigint").alias("no_split"))
 
 
 @query(f"""
@@ -676,13 +733,13 @@ def products_to_recheck(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-SELECT l.pid AS product_id, sha256(list_aggregate(list_sort(list(DISTINCT s.content_hash)), 'string_agg', '|')) AS combined
-FROM (SELECT DISTINCT {_REF.format('product_id')} AS pid, {_REF.format('source_id')} AS sid FROM product_sources WHERE trim(product_id) <> '') l JOIN sources s ON {_REF.format('s.id')} = l.sid WHERE s.content_hash IS NOT NULL GROUP BY 1
+SELECT l.pid AS product_id, sha256(list_aggregate(list_sort(list(DISTINCT l.sid || ':' || coalesce(s.content_hash, ''))), 'string_agg', '|')) AS combined
+FROM (SELECT DISTINCT {_REF.format('product_id')} AS pid, {_REF.format('source_id')} AS sid FROM product_sources WHERE trim(product_id) <> '') l JOIN sources s ON {_REF.format('s.id')} = l.sid GROUP BY 1
 """)
 def combined_hash(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "sources").select(X.reference_key(F.col("id")).alias("_s"), "content_hash").distinct()
     links = table(spark, d, "product_sources").select(X.reference_key(F.col("product_id")).alias("product_id"), X.reference_key(F.col("source_id")).alias("_s")).where("product_id is not null").distinct()
-    return S.combined_hash(links.join(s, "_s"), "product_id", "content_hash")
+    return S.combined_hash(links.join(s, "_s"), "product_id", "_s", "content_hash")
 
 
 _HALF = "SELECT id, manufacturer_resolved, mpn_normalised, source_content_hash, created_at FROM products"

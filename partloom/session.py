@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,8 @@ def build_session(app: str = "partloom", master: str | None = None, shuffle_part
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting is unset (tests on
-    one machine) a temporary folder is taken.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting is unset on a single
+    machine (``local`` masters, as in tests) a temporary folder is taken; elsewhere a missing setting is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
@@ -38,6 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             sc.setCheckpointDir(named)
         return
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="partloom-checkpoint-"))
 
 

@@ -20,13 +20,16 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def listings(spark: SparkSession, path: str) -> DataFrame:
     """Listing files (one JSON object each) as chunks: the title as prose, part number, manufacturer and each specification as a field.
 
-    The source id is the file's name without its suffix; empty parts give no chunk; the order of specifications is kept.
+    The source id is the file's name without its suffix; empty parts give no chunk; the order of specifications is kept. A file
+    that is no JSON object gives one row with the locator ``error`` and its text.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("source_id"), F.from_json("value", LISTING_SCHEMA).alias("j")).select("source_id", "j.*")
+    parsed = F.from_json("value", LISTING_SCHEMA + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("j")
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("source_id"), parsed).select("source_id", "j.*")
     field = lambda h, v, tag: F.struct(F.lit(tag).alias("tag"), F.lit(h).alias("header") if isinstance(h, str) else h.alias("header"), v.alias("value"), F.lit("structured_field").alias("locator"))
     specs = F.transform(F.map_entries("specifications"), lambda e, i: F.struct(F.concat(F.lit("f"), i.cast("string")).alias("tag"), e["key"].alias("header"), e["value"].alias("value"), F.lit("structured_field").alias("locator")))
     head = F.struct(F.lit("head").alias("tag"), F.lit(None).cast("string").alias("header"), F.col("title").alias("value"), F.lit("prose").alias("locator"))
-    parts = F.concat(F.array(head, field("Part Number", F.col("mpn"), "mpn"), field("Manufacturer", F.col("manufacturer"), "manufacturer")), F.coalesce(specs, F.array().cast("array<struct<tag:string,header:string,value:string,locator:string>>")))
+    error = F.array(F.struct(F.lit("error").alias("tag"), F.lit(None).cast("string").alias("header"), F.col("_broken").alias("value"), F.lit("error").alias("locator")))
+    parts = F.when(F.col("_broken").isNotNull(), error).otherwise(F.concat(F.array(head, field("Part Number", F.col("mpn"), "mpn"), field("Manufacturer", F.col("manufacturer"), "manufacturer")), F.coalesce(specs, F.array().cast("array<struct<tag:string,header:string,value:string,locator:string>>"))))
     x = raw.select("source_id", "source_type", F.posexplode(F.filter(parts, lambda p: p["value"].isNotNull() & (F.trim(p["value"]) != ""))).alias("ord", "p"))
     cell = F.when(F.col("p.header").isNotNull(), F.array(F.struct(F.col("p.header").alias("header"), F.col("p.value").alias("value"))))
     text = F.when(F.col("p.header").isNotNull(), F.concat("p.header", F.lit(": "), "p.value")).otherwise(F.col("p.value"))
@@ -39,7 +42,8 @@ def listings(spark: SparkSession, path: str) -> DataFrame:
 def binary_documents(spark: SparkSession, path: str, parse: Callable[[str, bytes], list[tuple]], pattern: str = "*") -> DataFrame:
     """Documents read as bytes and parsed on the workers by ``parse(path, content)``, which gives rows of ``CHUNK_SCHEMA``.
 
-    No parser of page formats is part of the library; a document that the parser refuses (an exception) gives no row.
+    No parser of page formats is part of the library. A document that the parser refuses (an exception) gives one row: its path
+    as ``source_id``, the locator ``error`` and the message as text.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,8 +53,8 @@ def binary_documents(spark: SparkSession, path: str, parse: Callable[[str, bytes
             for p, c in zip(f["path"], f["content"]):
                 try:
                     rows += parse(p, bytes(c))
-                except Exception:
-                    continue
+                except Exception as e:
+                    rows.append((None, p, None, None, None, f"{type(e).__name__}: {e}", None, "error", None))
             yield pd.DataFrame(rows, columns=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)

@@ -15,9 +15,13 @@ def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = Non
     jvm = spark._jvm
     target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staged)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
+    old = jvm.org.apache.hadoop.fs.Path(f"{path}__old")
+    if fs.exists(target):  # a copy left by a crash goes only when there is a newer one
+        fs.delete(old, True)
+        fs.rename(target, old)
     if not fs.rename(source, target):
-        raise OSError(f"{staged} could not take the place of {path}")
+        raise OSError(f"{staged} could not take the place of {path}; the old table is {path}__old")
+    fs.delete(old, True)
 
 
 def json_snapshot(df: DataFrame, path: str, key: Column, partitions: int = 16) -> None:

@@ -19,14 +19,20 @@ def test_listings(spark, tmp_path):
 
 def test_binary_documents(spark, tmp_path):
     (tmp_path / "ok.bin").write_bytes(b"hello")
-    (tmp_path / "bad.bin").write_bytes(b"")
+    (tmp_path / "bad.bin").write_bytes(b"?")
 
     def parse(path, content):
-        if not content:
+        if content == b"?":
             raise ValueError("empty")
         return [("c1", "s", "t", 1, 1, content.decode(), None, "prose", None)]
 
-    assert [r["text"] for r in binary_documents(spark, str(tmp_path), parse).collect()] == ["hello"]
+    got = {r["locator"]: r for r in binary_documents(spark, str(tmp_path), parse).collect()}
+    assert set(got) == {"prose", "error"} and got["prose"]["text"] == "hello" and got["error"]["text"] == "ValueError: empty" and got["error"]["source_id"].endswith("bad.bin")
+
+
+def test_listing_that_is_no_json(spark, tmp_path):
+    (tmp_path / "bad.json").write_text("{no json")
+    assert [(r["source_id"], r["locator"], r["text"], r["cells"]) for r in listings(spark, str(tmp_path)).collect()] == [("bad", "error", "{no json", None)]
 
 
 def test_lines(spark):
