@@ -24,9 +24,9 @@ HASHED = 1 << 16
 #: share of the training values that are cut at a random place
 CUT_SHARE = 0.12
 
-# Endings that look like a cut and may be none.
+# Endings that look like a cut and may be none; the first one are notes that a text goes on elsewhere.
 _MARKS = [
-    ("cont", r"\s*\(cont\. on label\)\s*$"),
+    ("cont", r"(?i)\s*[(\[](?:cont|contd|continued|more|forts|fortsetzung|weiter|suite|sigue|continúa|продолж)\b[^()\[\]]*[)\]]\s*$"),
     ("etc", r"\s*etc\.{3}\s*$"),
     ("dots_apart", r"\s+(?:\.{3}|…)\s*$"),
     ("dots", r"(?:\.{3})\s*$"),
@@ -137,7 +137,8 @@ def score_truncation(rows: DataFrame, row_id: str, text: str, source: str, train
     last = _bare(F.element_at(F.split(F.rtrim(F.regexp_replace("t", _ANY_MARK, "")), r"\s+"), -1))
     sample = sample.withColumn("word", last).join(vocabulary, "word", "left_semi")  # ends with a whole word
     intact = cut_lineage(sample.select("row_id", "t", "source", "unit", "limit_n", "cut_mark", "size"))
-    kinds = limits.withColumn("k", F.row_number().over(Window.orderBy("source")) - 1)  # sources that have a limit
+    # sources that have a limit, numbered: a sample row is cut at the limit of one of them
+    kinds = limits.withColumn("k", F.row_number().over(Window.orderBy("source")) - 1)
     n_kinds = kinds.count()
 
     def training(pool: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def score_truncation(rows: DataFrame, row_id: str, text: str, source: str, train
         out = own.unionByName(torn)
         if n_kinds:
             text_ = pool.select("row_id", "t", F.pmod(F.xxhash64("row_id", F.lit("kind")), F.lit(n_kinds)).cast("int").alias("k"))
-            lim = text_.join(F.broadcast(kinds), "k")
+            lim = text_.join(kinds, "k")
             added = F.when(F.col("cut_mark") == "dots", F.lit("...")).when(F.col("cut_mark") == "ellipsis", F.lit("…")).otherwise(F.lit(""))
             room = F.col("limit_n") - F.length(added)
             # bytes are cut as characters; only the size at the limit is kept as such
@@ -165,10 +166,11 @@ def score_truncation(rows: DataFrame, row_id: str, text: str, source: str, train
 
     tf = HashingTF(numFeatures=HASHED, binary=True, inputCol="f", outputCol="features")
     vectors = lambda d: tf.transform(_with_features(d, vocabulary))
-    lr = LogisticRegression(maxIter=100, regParam=1e-6, elasticNetParam=0.0, standardization=False)
+    lr = LogisticRegression(maxIter=100, tol=1e-4, regParam=1e-6, elasticNetParam=0.0, standardization=False)
 
     def fit(pool: DataFrame) -> LogisticRegressionModel:
-        data = vectors(training(pool)).select("features", "label").persist()
+        # the sample has a fixed size, and each of the fit's passes is a task per partition
+        data = vectors(training(pool)).select("features", "label").coalesce(max(1, train_rows // 10_000)).persist()
         try:
             return lr.fit(data)
         finally:
