@@ -55,3 +55,16 @@ def combined_hash(links: DataFrame, parent: str, source: str, content: str) -> D
     """``parent, combined``: SHA-256 of the sorted distinct ``source:content`` pairs of a parent's sources; a null content is an empty one."""
     pair = F.concat_ws(":", F.col(source), F.coalesce(F.col(content), F.lit("")))
     return links.groupBy(parent).agg(F.sha2(F.array_join(F.sort_array(F.collect_set(pair)), "|"), 256).alias("combined"))
+
+
+def coalesce_dimension(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of a dimension brought up to date: of each column the new value, or the old one where the new one is null; keys of both sides stay."""
+    o = old.select(*[F.col(c).alias(f"_o_{c}") for c in old.columns])
+    n = new.select(*[F.col(c).alias(f"_n_{c}") for c in old.columns])
+    x = o.join(n, F.col(f"_o_{key}") == F.col(f"_n_{key}"), "full")
+    return x.select(*[F.coalesce(f"_n_{c}", f"_o_{c}").alias(c) for c in old.columns])
+
+
+def map_rows(df: DataFrame, entity: str, values: str) -> DataFrame:
+    """A table of maps as rows: ``entity, key, value``; null and empty maps give none."""
+    return df.select(entity, F.explode(values).alias("key", "value"))

@@ -157,3 +157,37 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def window_rank(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def with_lookups(wide: DataFrame, lookups: dict[str, tuple[str, dict]]) -> DataFrame:
+    """``wide`` with a column per lookup: ``name -> (column, table)``, the table's value for the column's text; null where it has none.
+
+    A lookup whose column the table does not have is left out, so that rules on it are not evaluated.
+    """
+    for name, (column, values) in lookups.items():
+        if column in wide.columns:
+            found = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+            wide = wide.withColumn(name, found[F.col(column).cast("string")])
+    return wide
+
+
+def rule_messages(wide: DataFrame, entity: str, rules: list[dict]) -> DataFrame:
+    """``entity, rule_id, message``: the message of each failed rule with the values of its names filled in; a rule without a message gives its id."""
+    out = apply_rules(wide, entity, rules).where("not passed").select(entity, "rule_id").distinct()
+    texts = F.lit(None).cast("string")
+    for rule in rules:
+        text = F.lit(rule.get("message", rule["id"]))
+        for n in wide.columns:
+            if "{" + n + "}" in rule.get("message", ""):
+                value = F.col(n).cast("string")
+                text = F.replace(text, F.lit("{" + n + "}"), F.coalesce(F.regexp_replace(value, r"\.0+$", "") if dict(wide.dtypes)[n] == "double" else value, F.lit("")))
+        texts = F.when(F.col("rule_id") == rule["id"], text).otherwise(texts)
+    return out.join(wide, entity).select(entity, "rule_id", texts.alias("message"))
+
+
+def supported_by(tier: Column, value: Column, texts: list[Column], same) -> Column:
+    """Whether a value follows from one of the texts it cites (``same(value, text)``); values that were computed from the text follow by construction, so only asserted ones are compared."""
+    found = F.lit(False)
+    for t in texts:
+        found = found | F.coalesce(same(value, t), F.lit(False))
+    return (tier != "llm") | found

@@ -167,12 +167,20 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d).where("rank <= 20").select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
-_WORDS = "list_distinct([w FOR w IN regexp_extract_all(lower({0}), '[a-z0-9]+') IF length(w) >= {1}])"
-_OVERLAP = f"coalesce(len(list_intersect({_WORDS.format('{0}', 2)}, {_WORDS.format('{1}', 1)})) / nullif(len({_WORDS.format('{0}', 2)}), 0), 0)"
+_SPACE = "[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 
 
-@query(_BM25 + f""", o AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round({_OVERLAP.format('k.description_fragment', 'd.text')}, 6) DESC, doc_id) AS rank
-  FROM bm JOIN sku_inputs k ON k.sku_id = query_id JOIN documents d USING (doc_id)),
+def _gram_sql(rows: str, key: str, text: str) -> str:
+    words = f"SELECT k, w, count(*) AS c FROM (SELECT {key} AS k, unnest(regexp_split_to_array(lower({text}), '{_SPACE}')) AS w FROM {rows}) WHERE w <> '' GROUP BY ALL"
+    return f"SELECT k, substr(' ' || w || ' ', i, n) AS g, sum(c) AS tf FROM ({words}), range(3, 6) a(n), range(1, length(w) + 4 - n) b(i) GROUP BY ALL"
+
+
+@query(_BM25 + f""", dg AS ({_gram_sql('documents', 'doc_id', 'text')}), asked AS (SELECT sku_id, coalesce(nullif(description_fragment, ''), mpn) AS t FROM sku_inputs WHERE sku_id % 100 = 0), qg AS ({_gram_sql('asked', 'sku_id', 't')}),
+vo AS (SELECT g, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM (SELECT g, sum(tf) AS n, count(*) AS df FROM dg GROUP BY 1 ORDER BY n DESC, g LIMIT {R.MAX_GRAMS})),
+dv AS (SELECT k, g, tf * idf AS v FROM dg JOIN vo USING (g)), qv AS (SELECT k, g, tf * idf AS v FROM qg JOIN vo USING (g)),
+dn AS (SELECT k, sqrt(sum(v * v)) AS n FROM dv GROUP BY 1), qn AS (SELECT k, sqrt(sum(v * v)) AS n FROM qv GROUP BY 1),
+co AS (SELECT q.k AS query_id, d.k AS doc_id, round(sum(q.v * d.v / qn.n / dn.n), 6) AS score FROM qv q JOIN dv d USING (g) JOIN qn ON qn.k = q.k JOIN dn ON dn.k = d.k GROUP BY ALL),
+o AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM co WHERE score > 0 QUALIFY rank <= 50),
 u AS (SELECT query_id, doc_id, 0.7::DOUBLE / (60 + rank) AS s FROM bm UNION ALL SELECT query_id, doc_id, 0.3::DOUBLE / (60 + rank) FROM o),
 r AS (SELECT query_id, doc_id, round(sum(s), 8) AS score FROM u GROUP BY ALL)
 SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY r.score DESC, doc_id) AS rank FROM r QUALIFY rank <= 25
