@@ -18,7 +18,7 @@ def match(spark, values, names=NAMES):
 def test_normal_forms(spark):
     cases = {
         "9225 - Nimerk Armaturen GmbH & Co. KG": "nimerk armaturen", "NimerkArmaturen[active]": "nimerk armaturen", " Armaturen,  Nimerk (OEM)*": "armaturen nimerk", "Niмеrk_Аrmaturen_-_DE": "nimerk armaturen",
-        "F.L.T.E.": "flte", "Foquäpos S.p.A.": "foquapos", "N1merk": "nlmerk", "Yobiark Elec.": "yobiark electric", "": "", None: None, "[active]": "",
+        "F.L.T.E.": "flte", "Foquäpos S.p.A.": "foquapos", "N1merk": "nlmerk", "Yobiark Elec.": "yobiark elec", "": "", None: None, "[active]": "",
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r["t"]: r["f"] for r in df.select("t", normalise_name(F.col("t")).alias("f")).collect()} == cases
@@ -70,3 +70,23 @@ def test_proportions(spark):
     assert all(abs(r["count"] / 20_000 - parts[r["s"]]) < 0.02 for r in rows) and len(rows) == 3
     with pytest.raises(ValueError):
         assign_split(F.lit("x"), {"a": 0.5})
+
+
+def test_short_forms_come_from_the_list(spark):
+    """Another list with other general words than those of the test tables."""
+    from pyspark.sql import functions as F
+
+    from partloom.llm.mapping import match_names, name_words, short_forms
+
+    makers = ["Norvik", "Ostrand", "Belmara", "Tarquist", "Zephora", "Quillon"]
+    general = ["Brewery", "Shipyards", "Foundries"]
+    entries = [(i + 1, f"{m} {general[i % 3]} Ltd.") for i, m in enumerate(makers * 2)]
+    entries = [(i, n if i <= 6 else n.replace(" Ltd.", "").replace(makers[(i - 1) % 6], makers[(i - 1) % 6][::-1].capitalize())) for i, n in entries]
+    table = spark.createDataFrame(entries, "i int, n string")
+    known = name_words(table, "n")
+    words = spark.createDataFrame([("brew",), ("brwry",), ("shpyds",), ("fndrs",), ("norvik",), ("xyz",), ("b",)], "w string")
+    assert {r["w"]: r["full"] for r in short_forms(words, known).collect()} == {"brew": "brewery", "brwry": "brewery", "shpyds": "shipyards", "fndrs": "foundries"}
+    typed = ["Norvik Brew. GmbH", "OSTRAND SHPYDS", "belmara fndrs", "Norvik", "Brewery", None, "completely else"]
+    got = {r["value"]: r["entry_id"] for r in match_names(spark.createDataFrame([(t,) for t in typed], "v string"), "v", table, "i", "n").collect()}
+    assert got == {"Norvik Brew. GmbH": 1, "OSTRAND SHPYDS": 2, "belmara fndrs": 3, "Norvik": 1, "Brewery": None, "completely else": None}
+    assert match_names(spark.createDataFrame([("Norvik",)], "v string"), "v", table.where(F.lit(False)), "i", "n").select("entry_id").collect()[0][0] is None
