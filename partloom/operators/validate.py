@@ -96,7 +96,8 @@ def apply_rules(wide: DataFrame, entity: str, rules: list[dict]) -> DataFrame:
             continue
         known = " AND ".join(f"`{n}` IS NOT NULL" for n in [*names, *more]) or "true"
         found.append(F.struct(F.lit(rule["id"]).alias("rule_id"), F.lit(rule.get("severity", "error")).alias("severity"), F.expr(f"CASE WHEN {known} THEN CASE WHEN {cond} THEN {sql} END END").alias("passed"), F.array(*[F.lit(n) for n in names]).alias("keys")))
-    rows = wide.select(entity, F.inline(F.array(*found))).where("passed is not null")
+    kind = "array<struct<rule_id:string,severity:string,passed:boolean,keys:array<string>>>"
+    rows = wide.select(entity, F.inline(F.array(*found).cast(kind))).where("passed is not null")
     return rows.select(entity, "rule_id", "severity", "passed", F.explode("keys").alias("key"))
 
 
