@@ -65,3 +65,25 @@ def test_long_quotations_and_brackets_stay_whole(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     got = sorted(map(tuple, split_sentences(df, "id", "t").collect()))
     assert got == [(i, 0, len(t)) for i, t in enumerate(texts)]
+
+
+def test_wrap_width_comes_from_the_texts(spark):
+    import random
+    import textwrap
+
+    from partloom.llm.sentences import wrap_width
+
+    rng = random.Random(1)
+    words = "valve cover housing of the pump room shows a drift and never opens before mounting".split()
+    texts = [f"The {' '.join(rng.choice(words) for _ in range(60))}." for _ in range(60)]
+    heads = [f"{rng.choice(words)} notes\nIt fits." for _ in range(60)]
+    for width in (52, 90):
+        wrapped = ["\n".join(textwrap.wrap(t, width)) for t in texts]
+        df = spark.createDataFrame([(t,) for t in [*wrapped, *heads, None, ""]], "t string")
+        assert abs(wrap_width(df, "t") - width) <= 2
+        got = cut(spark, [*wrapped, *heads])
+        whole = sum(len(g) == 1 for g in got[: len(texts)])
+        assert whole >= 0.95 * len(texts), whole
+        assert all(len(g) == 2 for g in got[len(texts) :])
+    plain = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert wrap_width(plain, "t") is None and wrap_width(plain.limit(0), "t") is None
