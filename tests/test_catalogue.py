@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import statistics
 
 import numpy as np
@@ -198,6 +199,30 @@ def test_gram_topk_over_all_documents(spark, tmp_path):
     assert {(100, 5), (200, 7), (300, 1), (300, 5)} <= fused  # no whole token in common
 
 
+def test_bm25_moves_no_pairs(spark):
+    """Queries meet blocks of documents where these are read: no row for each query and document is sorted or shuffled."""
+    rng = np.random.default_rng(5)
+    words = ["in", "valve", "gland", "m16", "x", "red", "12"]
+    docs = [(int(i), None if i % 17 == 0 else " ".join(rng.choice(words, rng.integers(0, 6)))) for i in rng.permutation(90)]
+    asked = [(int(i), " ".join(rng.choice(words, rng.integers(0, 5)))) for i in range(40)]
+    d, q = spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(asked, "q long, t string")
+    found = R.bm25_topk(d, "id", "t", q, "q", "t", k=5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and "Window" not in plan
+    toks = {i: re.findall("[a-z]+|[0-9]+", t or "") for i, t in docs}
+    avg = sum(map(len, toks.values())) / len(docs)
+    idf = {w: math.log(len(docs) - c + 0.5) - math.log(c + 0.5) for w in {w for t in toks.values() for w in t} for c in [sum(w in t for t in toks.values())]}
+    low = 0.25 * sum(idf.values()) / len(idf)
+    idf = {w: v if v >= 0 else low for w, v in idf.items()}
+    want = {}
+    for i, t in asked:
+        terms = [w for w in re.findall("[a-z]+|[0-9]+", t) if w in idf]
+        scored = [(-round(sum(idf[w] * x.count(w) * 2.5 / (x.count(w) + 1.5 * (0.25 + 0.75 * len(x) / avg)) for w in terms), 6), j) for j, x in toks.items() if set(terms) & set(x)]
+        want |= {(i, rank): j for rank, (_, j) in enumerate(sorted(scored)[:5], 1)}
+    for block in (4096, 7):
+        assert {(r["query_id"], r["rank"]): r["doc_id"] for r in R.bm25_topk(d, "id", "t", q, "q", "t", k=5, block=block).collect()} == want
+
+
 def test_dense_against_numpy(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(90, 8))
