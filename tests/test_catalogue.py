@@ -223,6 +223,25 @@ def test_bm25_moves_no_pairs(spark):
         assert {(r["query_id"], r["rank"]): r["doc_id"] for r in R.bm25_topk(d, "id", "t", q, "q", "t", k=5, block=block).collect()} == want
 
 
+def test_gram_vocabulary_is_ranked_off_the_driver(spark, monkeypatch):
+    """The driver gets the vocabulary only, not as many grams from every partition; ties at its end go by gram."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+    monkeypatch.setattr(R, "MAX_GRAMS", 9)
+    docs = [(1, "valve bar"), (2, "valve gland"), (3, None), (4, "bar bar vat")]
+    d = spark.createDataFrame(docs, "id long, t string")
+    got = {r["doc_id"]: r["score"] for r in R.gram_topk(d, "id", "t", spark.createDataFrame([(7, "valve bar")], "q long, t string"), "q", "t").collect()}
+    assert plans and not any("false\n+- TakeOrdered" in p for p in plans)  # elsewhere in a plan it runs in a task
+    n = sum((R.char_grams(t) for _, t in docs), start=R.char_grams(None))
+    kept = sorted(n, key=lambda g: (-n[g], g))[:9]
+    idf = {g: math.log(5 / (1 + sum(g in R.char_grams(t) for _, t in docs))) + 1 for g in kept}
+    vec = lambda t: np.array([R.char_grams(t)[g] * idf[g] for g in kept])
+    cos = {i: vec(t) @ vec("valve bar") / np.linalg.norm(vec(t)) / np.linalg.norm(vec("valve bar")) for i, t in docs if vec(t).any()}
+    assert got.keys() == {i for i, c in cos.items() if c > 0} and all(abs(got[i] - cos[i]) < 1e-5 for i in got)
+
+
 def test_dense_against_numpy(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(90, 8))
