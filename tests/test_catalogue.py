@@ -242,6 +242,19 @@ def test_gram_vocabulary_is_ranked_off_the_driver(spark, monkeypatch):
     assert got.keys() == {i for i, c in cos.items() if c > 0} and all(abs(got[i] - cos[i]) < 1e-5 for i in got)
 
 
+def test_fused_asks_all_inputs(spark, tmp_path):
+    from partloom.plans.catalogue_queries import ORACLE, QUERIES
+
+    docs = [(1, "red valve 12 bar"), (2, "red red gland"), (3, None), (5, "blue valves 12"), (7, "KX-1207 pump")]
+    asked = [(100, "red valve", "M1"), (101, None, "KX-1207"), (7, "gland valveX", "M3"), (8, "red valve", "M4"), (9, "", None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "sku_id long, description_fragment string, mpn string").write.parquet(f"{tmp_path}/sku_inputs.parquet")
+    rows = QUERIES["fused_topk"](spark, str(tmp_path)).collect()
+    of = {i: [(r["doc_id"], r["score"], r["rank"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == i] for i, _, _ in asked}
+    assert of[101][0][0] == 7 and of[7][0][0] == 2 and of[8] == of[100] and of[9] == []
+    assert "% 100" not in ORACLE["fused_topk"] and "% 100" in ORACLE["bm25_topk"]
+
+
 def test_dense_against_numpy(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(90, 8))
